@@ -40,8 +40,8 @@ def valid_repo_name(repo: Column) -> Column:
 def github_slug(url: Column) -> Column:
     """``org/repo`` of a hosting URL, else NULL."""
     plain = F.regexp_replace(F.regexp_replace(url, r"^git\+", ""), r"\.git$", "")
-    slug = F.concat_ws(
-        "/", F.regexp_extract(plain, HOST_URL, 1), F.regexp_extract(plain, HOST_URL, 2)
+    slug = F.concat(
+        F.regexp_extract(plain, HOST_URL, 1), F.lit("/"), F.regexp_extract(plain, HOST_URL, 2)
     )
     return F.when(slug != "/", slug)
 

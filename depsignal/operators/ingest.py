@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from depsignal.operators.silver import event_time
+
 
 def backfill_window(spark: SparkSession, days: int, end: str | None = None) -> DataFrame:
     """First and last day of an inclusive window that ends yesterday by default."""
@@ -31,7 +33,7 @@ def ingest_hour_stats(raw: DataFrame, projects: DataFrame) -> DataFrame:
     Events are counted per hour and repository before the watch-list is
     joined, so a hot repository is one row per hour in the join.
     """
-    at = F.to_timestamp("created_at")
+    at = event_time("created_at")
     per_repo = raw.groupBy(
         F.to_date(at).alias("date"), F.hour(at).alias("hour"), F.col("repo.name").alias("_repo")
     ).agg(F.count(F.lit(1)).alias("n"))

@@ -137,7 +137,7 @@ def report_file_name(run: Column) -> Column:
 
 
 def _number(c: Column, template: str = "%,d") -> Column:
-    return F.coalesce(F.format_string(template, c), F.lit("N/A"))
+    return F.when(c.isNotNull(), F.format_string(template, c)).otherwise("N/A")
 
 
 def assessment_brief(scored: DataFrame, signals: DataFrame) -> DataFrame:
@@ -147,8 +147,11 @@ def assessment_brief(scored: DataFrame, signals: DataFrame) -> DataFrame:
     and the arrays issues and prs; five issues and three pull requests are shown.
     """
 
-    def row(label, column, note=""):
-        return F.concat(F.lit(f"| {label} | "), _number(F.col(column), "%.2f"), F.lit(" | "), note or F.lit(""), F.lit(" |"))
+    none = F.lit("")
+
+    def row(label, column, note=none):
+        value = _number(F.col(column), "%.2f")
+        return F.concat(F.lit(f"| {label} | "), value, F.lit(" | "), note, F.lit(" |"))
 
     pushless = ~F.coalesce("has_push_data", F.lit(True))
     estimate = F.when(pushless, "estimated, no push data").otherwise("")

@@ -9,6 +9,11 @@ from depsignal.functions import names
 _TIMESTAMP = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
+def event_time(created_at) -> Column:
+    """Parsed event time; NULL for malformed text. The written clock time is kept."""
+    return F.try_to_timestamp(created_at, F.lit(_TIMESTAMP))
+
+
 def filter_event_types(bronze: DataFrame, types=schemas.EVENT_TYPES) -> DataFrame:
     return bronze.filter(F.col("type").isin(*types))
 
@@ -29,7 +34,7 @@ def to_silver(bronze: DataFrame, ingested_at: Column | None = None) -> DataFrame
     commit array gives NULL, an empty one 0.
     """
     actor, repo = F.col("actor.login"), F.col("repo.name")
-    created = F.try_to_timestamp("created_at", F.lit(_TIMESTAMP))
+    created = event_time("created_at")
     commits = F.col("payload.commits")
     return bronze.select(
         names.event_key(F.col("type"), actor, repo, F.col("created_at")).alias("event_id"),

@@ -4,11 +4,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _whole_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(
+def _whole_files(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    return files.select(
         F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_path").alias("file_path"),
         F.col("value").alias("content"),
@@ -23,7 +21,22 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_reports(spark: SparkSession, path: str, latest_only: bool = False) -> DataFrame:
-    """All risk reports, newest file name first, or the newest only."""
-    files = _whole_files(spark, path, "risk_report_*.md").select("file_name", "content")
-    newest_first = files.orderBy(F.col("file_name").desc())
+    """All risk reports, newest name first, or the newest only.
+
+    A report is a file ``risk_report_*.md`` or, as Spark writes it, a file in
+    a directory of that name.
+    """
+    name = F.regexp_extract("file_path", r"(risk_report_[^/]*\.md)", 1)
+    files = _whole_files(spark, path).withColumn("file_name", name).filter("file_name != ''")
+    newest_first = files.select("file_name", "content").orderBy(F.col("file_name").desc())
     return newest_first.limit(1) if latest_only else newest_first
+
+
+def write_reports(reports: DataFrame, path: str) -> None:
+    """One directory per report, named like the report."""
+    (
+        reports.select(F.col("file_name").alias("report"), "content")
+        .write.mode("append")
+        .partitionBy("report")
+        .text(path)
+    )

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from depsignal import schemas
 from depsignal.functions import names
-from depsignal.operators.silver import dedup_latest
+from depsignal.operators.silver import dedup_latest, event_time
 
 
 def read_events(spark: SparkSession, paths) -> DataFrame:
@@ -52,13 +52,18 @@ def select_days(events: DataFrame, start: str | None, end: str | None) -> DataFr
     return events.filter((day >= F.lit(start).cast("date")) & (day <= F.lit(end).cast("date")))
 
 
-def write_bronze(raw: DataFrame, path: str) -> None:
+BRONZE_LAYOUT = ("org_name", "repo_name", "date", "hour")
+
+
+def write_bronze(raw: DataFrame, path: str, layout=BRONZE_LAYOUT) -> None:
     """Gzipped JSON lines below org / repository / date / hour.
 
-    The rebalance hint lets adaptive execution split a hot repository-hour
-    over several writers and merge tiny ones.
+    The rebalance hint lets adaptive execution split a hot directory over
+    several writers and merge tiny ones. A long tail of quiet repositories
+    makes many small files: give a coarser ``layout`` there, since org and
+    repository also stay inside each line.
     """
-    at = F.to_timestamp("created_at")
+    at = event_time("created_at")
     keyed = raw.select(
         "*",
         names.org_of(F.col("repo.name")).alias("org_name"),
@@ -66,11 +71,11 @@ def write_bronze(raw: DataFrame, path: str) -> None:
         F.to_date(at).alias("date"),
         F.hour(at).alias("hour"),
     )
-    keys = ["org_name", "repo_name", "date", "hour"]
     (
-        keyed.hint("rebalance", *keys)
+        keyed.select(*raw.columns, *layout)
+        .hint("rebalance", *layout)
         .write.mode("append")
-        .partitionBy(*keys)
+        .partitionBy(*layout)
         .option("compression", "gzip")
         .json(path)
     )

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from depsignal import schemas
-from depsignal.operators.silver import bronze_to_silver
+from depsignal.operators.silver import bronze_to_silver, event_time
 from depsignal.sources.events import merge_into_path
 from depsignal.sources.tables import materialize_once
 
@@ -68,7 +68,7 @@ def stream_hour_stats(bronze: DataFrame, projects: DataFrame, delay: str = "10 m
         F.concat_ws("/", "org", "repo").alias("_repo"), F.lit(True).alias("_hit")
     ).distinct()
     timed = bronze.select(
-        F.to_timestamp("created_at").alias("at"), F.col("repo.name").alias("_repo")
+        event_time("created_at").alias("at"), F.col("repo.name").alias("_repo")
     ).withWatermark("at", delay)
     per_repo = (
         timed.join(watched, "_repo", "left")

@@ -13,22 +13,22 @@ from depsignal.sources.tables import materialize_once
 
 @check("agg1_commit_activity", "SELECT * FROM commit_activity")
 def agg1(spark, sf):
-    return metrics.commit_activity(t.staged(spark, sf))
+    return metrics.commit_activity(t.staged(spark, sf, "PushEvent"))
 
 
 @check("agg2_issue_health", "SELECT * FROM issue_health")
 def agg2(spark, sf):
-    return metrics.issue_health(t.staged(spark, sf))
+    return metrics.issue_health(t.staged(spark, sf, "IssuesEvent"))
 
 
 @check("agg3_pr_health", "SELECT * FROM pr_health")
 def agg3(spark, sf):
-    return metrics.pr_health(t.staged(spark, sf))
+    return metrics.pr_health(t.staged(spark, sf, "PullRequestEvent"))
 
 
 @check("agg4_contributor_diversity", "SELECT * FROM diversity")
 def agg4(spark, sf):
-    return metrics.contributor_diversity(t.staged(spark, sf))
+    return metrics.contributor_diversity(t.staged(spark, sf, "PushEvent"))
 
 
 @check("agg5_repo_span", "SELECT * FROM span")
@@ -71,12 +71,12 @@ def agg8(spark, sf):
     WHERE event_type IN ('IssuesEvent', 'PullRequestEvent') GROUP BY ALL""",
 )
 def agg9(spark, sf):
-    return metrics.action_breakdown(t.staged(spark, sf))
+    return metrics.action_breakdown(t.staged(spark, sf, "IssuesEvent", "PullRequestEvent"))
 
 
 @check("win2_top_n_sum", "SELECT * FROM top3")
 def win2(spark, sf):
-    return metrics.top_n_sum(metrics.actor_totals(t.staged(spark, sf)), 3)
+    return metrics.top_n_sum(metrics.actor_totals(t.staged(spark, sf, "PushEvent")), 3)
 
 
 @check(
@@ -84,7 +84,7 @@ def win2(spark, sf):
     """SELECT repo_full_name, total_commits, contributor_count, top3_commits FROM diversity""",
 )
 def jon3(spark, sf):
-    actors = metrics.actor_totals(t.staged(spark, sf))
+    actors = metrics.actor_totals(t.staged(spark, sf, "PushEvent"))
     totals = actors.groupBy("repo_full_name").agg(
         F.sum("actor_commits").alias("total_commits"),
         F.count("actor_login").alias("contributor_count"),
@@ -94,7 +94,7 @@ def jon3(spark, sf):
 
 @check("jon2_project_health", "SELECT * FROM health")
 def jon2(spark, sf):
-    return t.health(spark, sf, stage=materialize_once)
+    return t.health(spark, sf)
 
 
 _SCORES = """SELECT *, CAST(NULL AS DOUBLE) AS health_trend, CAST(NULL AS DOUBLE) AS prev_health_score
@@ -103,7 +103,7 @@ FROM scores"""
 
 @check("sco7_health_scores", _SCORES)
 def sco7(spark, sf):
-    return t.scored(spark, sf, stage=materialize_once).drop("computed_at")
+    return t.scored(spark, sf).drop("computed_at")
 
 
 @check(
@@ -207,7 +207,7 @@ def sco6(spark, sf):
     "sco8_risk_action",
     f"""+ raw AS (SELECT c_custkey, CASE WHEN c_nationkey = 0 THEN 'unknown'
       WHEN c_nationkey = 1 THEN NULL
-      ELSE CAST(round(CAST(c_acctbal AS DECIMAL(18,2)) / 800, 2) AS VARCHAR) END AS score FROM customer),
+      ELSE CAST(CAST(floor(c_acctbal / 8) AS BIGINT) / 100 AS VARCHAR) END AS score FROM customer),
     r AS (SELECT *, try_cast(score AS DOUBLE) AS v,
       (10.0::DOUBLE - greatest(0.0::DOUBLE, least(10.0::DOUBLE, try_cast(score AS DOUBLE)))) / 10.0::DOUBLE
         AS risk FROM raw)
@@ -217,7 +217,7 @@ def sco6(spark, sf):
 )
 def sco8(spark, sf):
     # account balances stand in for scores: below 0, above 10, missing and not a number
-    balance = F.round(F.col("c_acctbal").cast("decimal(18,2)").cast("double") / 800, 2)
+    balance = F.floor(F.col("c_acctbal") / 8) / 100
     score = (
         F.when(F.col("c_nationkey") == 0, "unknown")
         .when(F.col("c_nationkey") == 1, None)

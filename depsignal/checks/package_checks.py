@@ -7,6 +7,7 @@ from depsignal.checks.prelude import n
 from depsignal.checks.registry import check
 from depsignal.functions.names import github_slug, go_module_slug
 from depsignal.operators import manifests, resolution, watchlist
+from depsignal.sources.tables import materialize_once
 
 
 def _files(spark, sf, kind):
@@ -205,8 +206,10 @@ def jon5(spark, sf):
       FROM resolved WHERE status = 'unresolved'""",
 )
 def jon6(spark, sf):
+    # the outcome per package is read by two branches
+    resolved = materialize_once(t.resolved(spark, sf))
     outcome = resolution.classify_dependencies(
-        t.dependencies(spark, sf), t.resolved(spark, sf), t.scored(spark, sf)
+        t.dependencies(spark, sf), resolved, t.scored(spark, sf)
     )
     return outcome.groupBy(*outcome.columns).agg(F.count(F.lit(1)).alias("rows"))
 

@@ -7,6 +7,7 @@ from depsignal.checks.prelude import rnd
 from depsignal.checks.registry import check
 from depsignal.operators import reports, vectors
 from depsignal.plans.assessment import index_records
+from depsignal.sources.tables import materialize_once
 
 _RECORD = """repo_full_name, recommendation, health_score, risk_score, assessment_text, report_date,
   report_file"""
@@ -122,7 +123,7 @@ _SIDE = "SELECT repo_full_name, recommendation AS action FROM records WHERE repo
       ON a.repo_full_name = b.repo_full_name""",
 )
 def jon7(spark, sf):
-    records = reports.parse_reports(t.reports(spark, sf))
+    records = materialize_once(reports.parse_reports(t.reports(spark, sf)))
     return reports.compare_reports(
         records.filter("report_date = '2024-01-10'"), records.filter("report_date = '2024-01-20'")
     )
@@ -146,7 +147,9 @@ def jon8(spark, sf):
     QUALIFY row_number() OVER (PARTITION BY repo_full_name ORDER BY report_file DESC) = 1""",
 )
 def jon11(spark, sf):
-    return reports.latest_assessment(reports.parse_reports(t.reports(spark, sf)))
+    return reports.latest_assessment(
+        materialize_once(reports.parse_reports(t.reports(spark, sf)))
+    )
 
 
 @check(

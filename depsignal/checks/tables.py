@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depsignal.operators import metrics, resolution, scoring, silver
-from depsignal.operators.reports import render_report
 from depsignal.functions import scores
+from depsignal.operators.reports import render_report
+from depsignal.sources.tables import materialize_once
 
 COMPUTED_AT = "2024-02-01 00:00:00"
 
@@ -27,7 +28,7 @@ def repo_of(number: Column) -> Column:
 
 def bronze(spark: SparkSession, sf: str) -> DataFrame:
     """Nested events. Repositories grow with users; `value` drives actions and commits."""
-    k = F.get_json_object("props", "$.k").cast("bigint")
+    k = F.col("k")
     number = k + F.floor(F.col("user_id") / 50) * 100
     kind, value = F.col("event_type"), F.col("value")
     push = (kind == "click") & (k < 90)
@@ -71,7 +72,10 @@ def bronze(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(None).cast("int").alias("number"),
     )
     repo = F.struct(number.alias("id"), repo_of(number).alias("name"), none.alias("url"))
-    return table(spark, sf, "events").select(
+    keyed = table(spark, sf, "events").withColumn(
+        "k", F.get_json_object("props", "$.k").cast("bigint")
+    )
+    return keyed.select(
         F.col("event_id").cast("string").alias("id"),
         event_type.alias("type"),
         actor.alias("actor"),
@@ -86,8 +90,7 @@ def bronze(spark: SparkSession, sf: str) -> DataFrame:
 
 def first_delivery(spark: SparkSession, sf: str) -> DataFrame:
     """Silver as ingested one hour after each event."""
-    at = silver.event_time("created_at")
-    hour_later = F.date_trunc("hour", at) + F.expr("INTERVAL 1 HOUR")
+    hour_later = F.date_trunc("hour", "event_time") + F.expr("INTERVAL 1 HOUR")
     return silver.bronze_to_silver(bronze(spark, sf).drop("value"), hour_later)
 
 
@@ -102,8 +105,8 @@ def silver_events(spark: SparkSession, sf: str) -> DataFrame:
     return once.select(*rest, F.explode(times).alias("ingested_at"))
 
 
-def staged(spark: SparkSession, sf: str) -> DataFrame:
-    return silver.dedup_latest(silver_events(spark, sf))
+def staged(spark: SparkSession, sf: str, *types: str) -> DataFrame:
+    return silver.staged_events(silver_events(spark, sf), types)
 
 
 # -- scorecards --------------------------------------------------------------
@@ -156,11 +159,11 @@ def cards(spark: SparkSession, sf: str) -> DataFrame:
 # -- health and scores -------------------------------------------------------
 
 
-def health(spark: SparkSession, sf: str, stage=None) -> DataFrame:
+def health(spark: SparkSession, sf: str, stage=materialize_once) -> DataFrame:
     return metrics.project_health(staged(spark, sf), cards(spark, sf), stage=stage)
 
 
-def scored(spark: SparkSession, sf: str, stage=None) -> DataFrame:
+def scored(spark: SparkSession, sf: str, stage=materialize_once) -> DataFrame:
     at = F.lit(COMPUTED_AT).cast("timestamp")
     return scoring.health_scores(health(spark, sf, stage), computed_at=at)
 
@@ -174,7 +177,7 @@ def snapshots(spark: SparkSession, sf: str) -> DataFrame:
     events = staged(spark, sf).withColumn(
         "snapshot_date", F.date_add(F.lit("2024-01-10").cast("date"), slice_no * 10)
     )
-    wide = metrics.project_health(events, cards(spark, sf), by=SNAPSHOT)
+    wide = metrics.project_health(events, cards(spark, sf), SNAPSHOT, materialize_once)
     at = F.lit(COMPUTED_AT).cast("timestamp")
     return scoring.health_trend(scoring.health_scores(wide, by=SNAPSHOT, computed_at=at))
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 # Patterns of a full repository name and of a hosting URL.
 REPO_NAME = r"^[A-Za-z0-9._-]+/[A-Za-z0-9._-]+$"
-HOST_URL = r"github\.com[/:]([^/\s]+)/([^/\s#?]+)"
+HOST_URL = r"github\.com[/:]([^/\s]+/[^/\s#?]+)"
 
 # Module path prefixes and the organisation that mirrors them.
 MODULE_PREFIXES = (
@@ -40,10 +40,7 @@ def valid_repo_name(repo: Column) -> Column:
 def github_slug(url: Column) -> Column:
     """``org/repo`` of a hosting URL, else NULL."""
     plain = F.regexp_replace(F.regexp_replace(url, r"^git\+", ""), r"\.git$", "")
-    slug = F.concat(
-        F.regexp_extract(plain, HOST_URL, 1), F.lit("/"), F.regexp_extract(plain, HOST_URL, 2)
-    )
-    return F.when(slug != "/", slug)
+    return F.nullif(F.regexp_extract(plain, HOST_URL, 1), F.lit(""))
 
 
 def go_module_slug(path: Column) -> Column:

@@ -270,7 +270,7 @@ def repo_event_summary(events: DataFrame, n: int = 20) -> DataFrame:
 def coverage_by_type(events: DataFrame, repos: DataFrame) -> DataFrame:
     """Events and actors per repository and type for the given repositories."""
     return (
-        events.join(repos.select("repo_full_name").distinct(), "repo_full_name", "left_semi")
+        events.join(repos.select("repo_full_name"), "repo_full_name", "left_semi")
         .groupBy("repo_full_name", "event_type")
         .agg(
             F.count(F.lit(1)).alias("event_count"),

@@ -37,12 +37,29 @@ def _hit(slug: Column, source: str, confidence: str) -> Column:
     )
 
 
+_HIT = "struct<full_name:string,source:string,confidence:string>"
+
+
 def _registry_hit(registry: DataFrame) -> DataFrame:
-    """Best repository per registry entry, by the rules of its ecosystem."""
+    """Best repository per registry entry, by the rules of its ecosystem.
+
+    The URLs are parsed in a projection of their own, so that each is parsed
+    once however often the rules below mention it.
+    """
     eco = F.col("ecosystem")
-    home = github_slug(F.col("home_page"))
-    repository = github_slug(F.col("repository"))
-    urls = F.coalesce(*[github_slug(F.col("project_urls")[k]) for k in PROJECT_URL_KEYS])
+    urls = [github_slug(F.col("project_urls")[k]) for k in PROJECT_URL_KEYS]
+    search = F.lit(None).cast("string")
+    if "search_hit" in registry.columns:
+        search = F.when(F.col("search_hit").contains("/"), F.col("search_hit"))
+    parsed = registry.select(
+        "ecosystem",
+        "name",
+        F.coalesce(*urls).alias("_urls"),
+        github_slug(F.col("repository")).alias("_repository"),
+        github_slug(F.col("home_page")).alias("_home"),
+        search.alias("_found"),
+    )
+    urls, home, repository = F.col("_urls"), F.col("_home"), F.col("_repository")
     hit = (
         F.when(
             eco == "python", F.coalesce(_hit(urls, "pypi", "high"), _hit(home, "pypi", "medium"))
@@ -50,15 +67,17 @@ def _registry_hit(registry: DataFrame) -> DataFrame:
         .when(
             eco == "node", F.coalesce(_hit(repository, "npm", "high"), _hit(home, "npm", "medium"))
         )
-        .when(eco == "rust", _hit(F.coalesce(repository, home), "crates", "high"))
+        .when(
+            eco == "rust",
+            F.coalesce(_hit(repository, "crates", "high"), _hit(home, "crates", "high")),
+        )
+    )
+    return parsed.select(
+        "ecosystem",
+        "name",
+        hit.cast(_HIT).alias("_registry"),
+        _hit(F.col("_found"), "github_search", "low").cast(_HIT).alias("_search"),
     )
-    columns = ["ecosystem", "name", hit.alias("_registry")]
-    if "search_hit" in registry.columns:
-        search = F.when(F.col("search_hit").contains("/"), F.col("search_hit"))
-        columns.append(_hit(search, "github_search", "low").alias("_search"))
-    else:
-        columns.append(F.lit(None).cast("struct<full_name:string,source:string,confidence:string>").alias("_search"))
-    return registry.select(*columns)
 
 
 def resolve_distinct(packages: DataFrame, cache: DataFrame, registry: DataFrame) -> DataFrame:
@@ -78,14 +97,14 @@ def resolve_distinct(packages: DataFrame, cache: DataFrame, registry: DataFrame)
             F.struct(F.concat_ws("/", "org", "repo").alias("full_name"), "source", "confidence"),
         ).alias("_cache"),
     )
-    go = F.when(
-        F.col("ecosystem") == "go", _hit(go_module_slug(F.col("name")), "go_module", "high")
-    )
+    go = _hit(F.col("_module"), "go_module", "high")
     best = F.when(F.col("_cached"), F.col("_cache")).otherwise(
         F.coalesce(_hit(F.col("_known"), "known_mapping", "high"), "_registry", go, "_search")
     )
+    module = F.when(F.col("ecosystem") == "go", go_module_slug(F.col("name")))
     return (
-        packages.join(cached, ["ecosystem", "name"], "left")
+        packages.withColumn("_module", module)
+        .join(cached, ["ecosystem", "name"], "left")
         .join(F.broadcast(known), F.lower("name") == F.col("_key"), "left")  # twelve fixed rows
         .join(_registry_hit(registry), ["ecosystem", "name"], "left")
         .select(*packages.columns, best.alias("_best"))
@@ -172,32 +191,26 @@ def classify_dependencies(
     NULL; an added repository appears once; unresolved packages once per
     dependency.
     """
-    base = resolved.join(
-        scores.select(F.col("repo_full_name").alias("full_name"), "health_score"),
-        "full_name",
-        "left",
-    ).filter(F.col("status") != "repeated")
-    outcome = (
-        F.when(F.col("status") == "monitored", "ready")
-        .when(F.col("status") == "resolved", "added")
-        .otherwise("unresolved")
-    )
-    columns = ["outcome", "ecosystem", "name", "full_name", "confidence", "health_score"]
-    table = base.withColumn("outcome", outcome)
-    each = deps.select("ecosystem", "name").join(
-        table.filter(F.col("outcome") != "added"), ["ecosystem", "name"]
-    )
-    once = table.filter(F.col("outcome") == "added")
-    both = each.select(*columns).unionByName(once.select(*columns))
-    ready = F.col("outcome") == "ready"
-    return both.select(
-        "outcome",
-        "ecosystem",
-        "name",
-        "full_name",
-        F.when(~ready, F.col("confidence")).alias("confidence"),
-        F.when(ready, F.col("health_score")).alias("health_score"),
+    found = ["ecosystem", "name", "full_name", "confidence"]
+    health = scores.select(F.col("repo_full_name").alias("full_name"), "health_score")
+    monitored = F.col("status") == "monitored"
+    each = (
+        resolved.filter(F.col("status").isin("monitored", "unresolved"))
+        .join(health, "full_name", "left")
+        .select(
+            F.when(monitored, "ready").otherwise("unresolved").alias("outcome"),
+            "ecosystem",
+            "name",
+            "full_name",
+            F.when(~monitored, F.col("confidence")).alias("confidence"),
+            "health_score",
+        )
+    )
+    once = resolved.filter(F.col("status") == "resolved").select(
+        F.lit("added").alias("outcome"), *found, F.lit(None).cast("double").alias("health_score")
     )
+    ready = deps.select("ecosystem", "name").join(each, ["ecosystem", "name"])
+    return ready.select(*once.columns).unionByName(once)
 
 
 def resolution_summary(resolved: DataFrame) -> DataFrame:

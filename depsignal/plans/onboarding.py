@@ -5,12 +5,18 @@ from pyspark.sql import functions as F
 
 from depsignal.operators.manifests import parse_manifests
 from depsignal.operators.resolution import classify_dependencies, resolve_packages
+from depsignal.sources.tables import materialize_once
 
 
 def onboard(
     files: DataFrame, cache: DataFrame, registry: DataFrame, watchlist: DataFrame, scores: DataFrame
 ) -> DataFrame:
-    """Manifest texts to ready, added and unresolved dependencies."""
-    deps = parse_manifests(files).filter(F.col("error").isNull())
-    resolved = resolve_packages(deps, cache, registry, watchlist, ["file_name", "pos"])
+    """Manifest texts to ready, added and unresolved dependencies.
+
+    Parsed dependencies and resolved packages are each stored once, since
+    several steps read them.
+    """
+    deps = materialize_once(parse_manifests(files).filter(F.col("error").isNull()))
+    order = ["file_name", "pos"]
+    resolved = materialize_once(resolve_packages(deps, cache, registry, watchlist, order))
     return classify_dependencies(deps, resolved, scores)

@@ -19,7 +19,7 @@ def cosine(embedding: Column, query: Sequence[float]) -> Column:
     """Cosine similarity with a constant vector that is normalised once."""
     length = sum(x * x for x in query) ** 0.5
     unit = F.array(*[F.lit(float(x) / length) for x in query])
-    return _dot(embedding, unit) / F.sqrt(_dot(embedding, embedding))
+    return _dot(embedding, unit) / F.nullif(F.sqrt(_dot(embedding, embedding)), F.lit(0.0))
 
 
 def cosine_topk(
@@ -35,16 +35,16 @@ def cosine_topk(
 
     The label filter runs before any arithmetic. Each task keeps its own k
     best rows, so only k rows per task travel. Without a query there are no
-    rows; an unknown label is an error.
+    rows; an unknown label is an error. A zero vector sorts last.
     """
     if label is not None and label not in accepted:
         raise ValueError(f"unknown label {label!r}, expected one of {list(accepted)}")
     rows = vectors if label is None else vectors.filter(F.col(label_column) == label)
-    if not query:
+    if not query or not any(query):
         return rows.limit(0).withColumn("similarity", F.lit(0.0))
     return (
         rows.withColumn("_s", cosine(F.col("embedding"), query))
-        .orderBy(F.desc("_s"), key)
+        .orderBy(F.desc_nulls_last("_s"), key)
         .limit(min(k, MAX_K))
         .withColumn("similarity", F.round("_s", 4))
         .drop("_s")

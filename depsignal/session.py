@@ -6,6 +6,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+_LOCAL_ROOT = "depsignal.scratch.dir"
+
+
 def local_session(cores: str = "8", app: str = "depsignal") -> SparkSession:
     """A session for tests and the benchmark; clusters bring their own."""
     spark = (
@@ -30,10 +33,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     session may fall back to a temporary folder, since there the executors
     live in the same process.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_LOCAL_ROOT, None)
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         root = tempfile.mkdtemp(prefix="depsignal-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.conf.set(_LOCAL_ROOT, root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

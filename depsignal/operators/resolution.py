@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from depsignal.functions.names import github_slug, go_module_slug
 from depsignal.operators.watchlist import project_set
+from depsignal.sources.tables import materialize_once
 
 # Packages whose registry entry is known to mislead.
 KNOWN = (
@@ -125,49 +126,40 @@ def resolve_packages(
     registry: DataFrame,
     watchlist: DataFrame,
     order: list[str],
+    stage=materialize_once,
 ) -> DataFrame:
     """One row per distinct package with its outcome.
 
     Status is ``unresolved``, ``monitored``, ``repeated`` (an earlier package
     already stands for the repository) or ``resolved``. Packages are reduced
     to distinct ones with their count and first position before any join, so
-    a package named in a third of all manifests costs one row.
+    a package named in a third of all manifests costs one row. The resolved
+    packages are stored once, because the first one per repository is looked
+    up among them; packages without a repository stay out of that join, as
+    their NULL keys would all meet in one task.
     """
     packages = deps.groupBy("ecosystem", "name").agg(
         F.count(F.lit(1)).alias("occurrences"), F.min(F.struct(*order)).alias("first")
     )
-    found = resolve_distinct(packages, cache, registry)
-    firsts = (
-        found.filter(F.col("full_name").isNotNull())
-        .groupBy("full_name")
-        .agg(F.min(F.struct("first", "ecosystem", "name")).alias("_lead"))
-    )
+    found = stage(resolve_distinct(packages, cache, registry))
+    hits = found.filter(F.col("full_name").isNotNull())
+    place = F.struct("first", "ecosystem", "name")
+    firsts = hits.groupBy("full_name").agg(F.min(place).alias("_lead"))
     watched = project_set(watchlist).select(
         F.col("repo_full_name").alias("full_name"), F.lit(True).alias("_watched")
     )
-    lead = F.struct("first", "ecosystem", "name") == F.col("_lead")
     status = (
-        F.when(F.col("full_name").isNull(), "unresolved")
-        .when(F.col("_watched"), "monitored")
-        .when(lead, "resolved")
+        F.when(F.col("_watched"), "monitored")
+        .when(place == F.col("_lead"), "resolved")
         .otherwise("repeated")
     )
-    return (
-        found.join(firsts, "full_name", "left")
+    known = (
+        hits.join(firsts, "full_name")
         .join(watched, "full_name", "left")
-        .select(
-            "ecosystem",
-            "name",
-            "occurrences",
-            "first",
-            "full_name",
-            "org",
-            "repo",
-            "source",
-            "confidence",
-            status.alias("status"),
-        )
+        .select(*found.columns, status.alias("status"))
     )
+    missed = found.filter(F.col("full_name").isNull())
+    return known.unionByName(missed.withColumn("status", F.lit("unresolved")))
 
 
 def discovered_projects(resolved: DataFrame) -> DataFrame:
@@ -191,26 +183,21 @@ def classify_dependencies(
     NULL; an added repository appears once; unresolved packages once per
     dependency.
     """
-    found = ["ecosystem", "name", "full_name", "confidence"]
     health = scores.select(F.col("repo_full_name").alias("full_name"), "health_score")
-    monitored = F.col("status") == "monitored"
-    each = (
-        resolved.filter(F.col("status").isin("monitored", "unresolved"))
-        .join(health, "full_name", "left")
-        .select(
-            F.when(monitored, "ready").otherwise("unresolved").alias("outcome"),
-            "ecosystem",
-            "name",
-            "full_name",
-            F.when(~monitored, F.col("confidence")).alias("confidence"),
-            "health_score",
+    none = F.lit(None).cast("double")
+
+    def outcome(status, label):
+        return resolved.filter(F.col("status") == status).select(
+            F.lit(label).alias("outcome"), "ecosystem", "name", "full_name", "confidence"
         )
-    )
-    once = resolved.filter(F.col("status") == "resolved").select(
-        F.lit("added").alias("outcome"), *found, F.lit(None).cast("double").alias("health_score")
-    )
-    ready = deps.select("ecosystem", "name").join(each, ["ecosystem", "name"])
-    return ready.select(*once.columns).unionByName(once)
+
+    # only monitored repositories are looked up among the scores
+    ready = outcome("monitored", "ready").withColumn("confidence", F.lit(None).cast("string"))
+    ready = ready.join(health, "full_name", "left")
+    missed = outcome("unresolved", "unresolved").withColumn("health_score", none)
+    per_package = ready.unionByName(missed)
+    each = deps.select("ecosystem", "name").join(per_package, ["ecosystem", "name"])
+    return each.unionByName(outcome("resolved", "added").withColumn("health_score", none))
 
 
 def resolution_summary(resolved: DataFrame) -> DataFrame:

@@ -15,24 +15,18 @@ from depsignal.session import local_session
 
 HEADLINE = [
     "src1_read_events",
-    "prj1_to_silver",
     "jon1_filter_watchlist",
     "win1_dedup_latest",
     "snk2_merge_insert_only",
     "agg1_commit_activity",
-    "agg2_issue_health",
-    "agg3_pr_health",
     "agg4_contributor_diversity",
     "agg5_repo_span",
     "agg17_ingest_hour_stats",
-    "jon2_project_health",
     "sco7_health_scores",
     "sco11_scorecard",
     "win3_health_trend",
     "win4_top_items_per_repo",
-    "agg10_score_summary",
     "top1_most_at_risk",
-    "txt1_parse_requirements",
     "txt4_parse_pom",
     "txt6_parse_manifests",
     "txt9_resolve_packages",

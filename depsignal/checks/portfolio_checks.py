@@ -396,3 +396,39 @@ def dq6(spark, sf):
         F.col("health_score").alias("value"),
     )
     return groups.unionByName(sample)
+
+
+def _declared_sql(table, test, column):
+    if test == "not_null":
+        failing = f"SELECT 1 FROM {table} WHERE {column} IS NULL"
+    elif test == "unique":
+        failing = f"SELECT 1 FROM {table} GROUP BY {column} HAVING count(*) > 1"
+    elif test == "accepted_range":
+        failing = f"SELECT 1 FROM {table} WHERE {column} NOT BETWEEN 0 AND 10"
+    else:
+        kinds = ", ".join(f"'{k}'" for k in schemas.EVENT_TYPES)
+        failing = f"SELECT 1 FROM {table} WHERE {column} NOT IN ({kinds})"
+    return (
+        f"SELECT '{table}' AS table_name, '{test}' AS test, '{column}' AS \"column\", "
+        f"(SELECT count(*) FROM ({failing})) AS failures"
+    )
+
+
+@check(
+    "dq_declared_tests",
+    " UNION ALL ".join(
+        _declared_sql(table, test, column)
+        for table, test, columns in quality.DECLARED
+        for column in columns
+    ),
+)
+def dq_declared(spark, sf):
+    health = materialize_once(t.health(spark, sf))
+    return quality.declared_tests(
+        {
+            "silver": t.silver_events(spark, sf),
+            "staged": t.staged(spark, sf),
+            "health": health,
+            "scores": scoring.health_scores(health),
+        }
+    )

@@ -116,6 +116,24 @@ def test_quality(spark, rows):
     assert rows(quality.check_range(df, ["v"], 0, 10)) == [("v", 2)]
 
 
+def test_declared_tests(spark):
+    events = spark.sql("SELECT 'a' AS event_id, 'Odd' AS event_type, 'o/r' AS repo_full_name, NULL AS event_date")
+    health = spark.sql("SELECT 'o/r' AS repo_full_name, 1 AS data_days_available")
+    columns = ", ".join(f"11.0 AS {c}" for c in quality.SCORE_RANGE)
+    scores = spark.sql(f"SELECT 'o/r' AS repo_full_name, 1 AS data_days_available, {columns}")
+    tables = {"silver": events, "staged": events.union(events), "health": health, "scores": scores}
+    got = quality.declared_tests(tables).collect()
+    assert len(got) == 23
+    bad = {(r.table_name, r.test, r["column"]): r.failures for r in got if r.failures}
+    assert bad == {
+        ("silver", "not_null", "event_date"): 1,
+        ("staged", "not_null", "event_date"): 2,
+        ("staged", "unique", "event_id"): 1,
+        ("staged", "accepted_values", "event_type"): 2,
+        **{("scores", "accepted_range", c): 1 for c in quality.SCORE_RANGE},
+    }
+
+
 def test_hours(spark):
     window = ingest.backfill_window(spark, 2, "2024-03-01")
     spine = ingest.hour_spine(window).collect()

@@ -62,10 +62,8 @@ def _requirement_deps(text: Column) -> Column:
 def _package_json_deps(text: Column) -> Column:
     ddl = ", ".join(f"{s} MAP<STRING, STRING>" for s in NODE_SECTIONS)
     parsed = F.from_json(text, ddl)
-    entries = [
-        F.coalesce(F.map_entries(parsed.getField(s)), F.array().cast("array<struct<key:string,value:string>>"))
-        for s in NODE_SECTIONS
-    ]
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    entries = [F.coalesce(F.map_entries(parsed.getField(s)), none) for s in NODE_SECTIONS]
     return F.transform(
         F.concat(*entries),
         lambda e: _dep(e.getField("key"), F.coalesce(e.getField("value"), F.lit("None"))),
@@ -119,15 +117,13 @@ def _cargo_deps(text: Column) -> Column:
         lambda s: F.substring_index(s, "\n", 1).isin(*CARGO_SECTIONS),
     )
 
+    def entry(line, pattern):
+        return _dep(F.regexp_extract(line, pattern, 1), F.regexp_extract(line, pattern, 2))
+
     def dep(line):
-        pairs = [(CARGO_SIMPLE, 1), (CARGO_INLINE, 1)]
-        out = None
-        for pattern, _ in pairs:
-            value = _dep(F.regexp_extract(line, pattern, 1), F.regexp_extract(line, pattern, 2))
-            out = F.when(line.rlike(pattern), value) if out is None else out.when(
-                line.rlike(pattern), value
-            )
-        return out
+        return F.when(line.rlike(CARGO_SIMPLE), entry(line, CARGO_SIMPLE)).when(
+            line.rlike(CARGO_INLINE), entry(line, CARGO_INLINE)
+        )
 
     entries = F.flatten(F.transform(sections, lambda s: F.split(s, "\n")))
     return F.filter(F.transform(entries, dep), lambda d: d.isNotNull())

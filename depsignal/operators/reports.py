@@ -54,9 +54,9 @@ def _repo_block() -> Column:
         trend,
     )
     text = F.coalesce("assessment", F.lit("No assessment available."))
+    gap = F.lit("\n\n")
     return F.concat(
-        F.lit("### "), F.col("repo_full_name"), F.lit("\n\n"), metrics, F.lit("\n\n"), text,
-        F.lit("\n\n---\n"),
+        F.lit("### "), F.col("repo_full_name"), gap, metrics, gap, text, F.lit("\n\n---\n")
     )
 
 
@@ -127,13 +127,15 @@ def render_report(
             ).otherwise("")
         )
     return grouped.select(
-        run, report_file_name(F.col(run)).alias("file_name"), F.concat(head, *parts).alias("content")
+        run,
+        report_file_name(F.col(run)).alias("file_name"),
+        F.concat(head, *parts).alias("content"),
     )
 
 
 def report_file_name(run: Column) -> Column:
-    safe = F.substring(F.replace(F.replace(run, F.lit(":"), F.lit("-")), F.lit("+"), F.lit("Z")), 1, 19)
-    return F.concat(F.lit("risk_report_"), safe, F.lit(".md"))
+    dashed = F.replace(F.replace(run, F.lit(":"), F.lit("-")), F.lit("+"), F.lit("Z"))
+    return F.concat(F.lit("risk_report_"), F.substring(dashed, 1, 19), F.lit(".md"))
 
 
 def _number(c: Column, template: str = "%,d") -> Column:
@@ -160,15 +162,20 @@ def assessment_brief(scored: DataFrame, signals: DataFrame) -> DataFrame:
         "\nNote: no push events in this period. The commit and contributor scores are the "
         "neutral 5.00 and say nothing about real activity.\n",
     ).otherwise("")
-    issue = lambda i: F.concat(
-        F.format_string("  - #%d: %s (%d comments", i["number"], i["title"], i["comments"]),
-        F.when(F.size(i["labels"]) > 0, F.concat(F.lit(", labels: "), F.array_join(i["labels"], ", "))).otherwise(""),
-        F.lit(")"),
-    )
-    pull = lambda p: F.concat(
-        F.format_string("  - #%d: %s", p["number"], p["title"]),
-        F.when(p["draft"], " [draft]").otherwise(""),
-    )
+
+    def issue(i):
+        labels = F.concat(F.lit(", labels: "), F.array_join(i["labels"], ", "))
+        return F.concat(
+            F.format_string("  - #%d: %s (%d comments", i["number"], i["title"], i["comments"]),
+            F.when(F.size(i["labels"]) > 0, labels).otherwise(""),
+            F.lit(")"),
+        )
+
+    def pull(p):
+        return F.concat(
+            F.format_string("  - #%d: %s", p["number"], p["title"]),
+            F.when(p["draft"], " [draft]").otherwise(""),
+        )
 
     def listing(column, n, fn, empty):
         shown = F.transform(F.slice(F.col(column), 1, n), fn)

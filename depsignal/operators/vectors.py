@@ -57,7 +57,9 @@ def index_stats(vectors: DataFrame, namespace: str = "namespace") -> DataFrame:
         vectors.rollup(namespace)
         .agg(F.count(F.lit(1)).alias("vectors"), F.grouping(namespace).alias("_all"))
         .select(
-            F.when(F.col("_all") == 1, "all").otherwise(F.col(namespace).cast("string")).alias("namespace"),
+            F.when(F.col("_all") == 1, "all")
+            .otherwise(F.col(namespace).cast("string"))
+            .alias("namespace"),
             "vectors",
         )
     )

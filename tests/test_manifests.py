@@ -1,7 +1,6 @@
 from depsignal.operators import manifests, resolution
 from depsignal.plans.onboarding import onboard
 from depsignal.sources import documents
-from pyspark.sql import functions as F
 
 
 def parsed(spark, parser, *texts):

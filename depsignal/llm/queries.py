@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -144,3 +145,57 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(index, with_payload=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+LINE_SQL = r"""
+    WITH l AS (
+        SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'pos': i, 'line': x}), recursive := true)
+        FROM documents WHERE text IS NOT NULL
+    ),
+    t AS (
+        SELECT doc_id, pos, line, list_transform(list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> ''),
+               lambda x: CASE WHEN regexp_matches(x, '[0-9@]|://') THEN '<*>' ELSE x END) AS m
+        FROM l
+    ),
+    k AS (
+        SELECT doc_id, pos, unnest(list_concat([concat_ws(' ', 'all', len(m), array_to_string(m, ' '))],
+               CASE WHEN len(m) < 8 THEN [] ELSE list_transform([0, 1, 2, 3], lambda w: concat_ws(' ', w, len(m),
+                    array_to_string(list_slice(m, 1, 3), ' '),
+                    array_to_string(list_slice(m, 1, len(m) * w // 4), ' '), '|',
+                    array_to_string(list_slice(m, len(m) * (w + 1) // 4 + 1, len(m)), ' '))) END)) AS template
+        FROM t WHERE len(m) >= 5
+    ),
+    r AS (SELECT template, min(doc_id) AS first_doc FROM k GROUP BY template HAVING count(DISTINCT doc_id) >= 10),
+    gone AS (SELECT DISTINCT k.doc_id, k.pos FROM k JOIN r ON r.template = k.template AND k.doc_id <> r.first_doc),
+    kept AS (
+        SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_dropped,
+               string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL) AS text
+        FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id
+    )
+"""
+
+
+@registered(
+    "op8_line_dedup",
+    LINE_SQL
+    + """
+    SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_dropped, 0) AS n_dropped,
+           CASE WHEN d.text IS NOT NULL THEN md5(coalesce(k.text, '')) END AS text_md5
+    FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+    """,
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depsignal.llm.line_dedup import drop_recurring
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return drop_recurring(docs).select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
+
+
+@registered("op7_decontaminate")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depsignal.llm.decontaminate import find_leaks
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_ids", "similarity", "contaminated", (~F.col("contaminated")).alias("kept"))

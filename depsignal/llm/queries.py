@@ -199,3 +199,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_leaks(docs, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_ids", "similarity", "contaminated", (~F.col("contaminated")).alias("kept"))
+
+
+@registered("op3_quality_rules")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depsignal.llm.quality_rules import COUNTS, quality_rules
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return quality_rules(docs, trusted).select("doc_id", *COUNTS, "base_failed", "kept", "llr")

@@ -10,9 +10,11 @@ shingles is 0.75 or more. The steps:
 3. A pair's similarity is estimated from its registers by maximum likelihood,
    given the known set sizes; pairs that may reach the threshold are confirmed
    on the full sets. Confirmed links give provisional components.
-4. In a bucket whose other members still lie in different components these are
-   compared in blocks inside tasks; only pairs that pass the estimate come
-   out, and are confirmed as well.
+4. In a bucket whose other members still lie in different components, each is
+   paired with the LEADERS smallest of them, across components. A document with a
+   link into a large group has it with one of these almost surely.
+5. What still lies in different components is compared in blocks inside
+   tasks; only pairs that pass the estimate come out, and are confirmed as well.
 
 A pair of similarity 0.75 shares no band of 50 with probability 1e-6, and is
 refused by the estimate with one of 1e-6; a pair of 0.8 with 3e-9 and less.
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from depsignal.llm.components import components
@@ -42,6 +44,8 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65534
 #: Members of a bucket that are compared with each other at once.
 BLOCK = 1024
+#: Smallest members that the others of a bucket are paired with in the second round.
+LEADERS = 16
 #: An estimate this far below the threshold, in standard deviations, rules a pair out.
 DEVIATIONS = 5.0
 
@@ -269,6 +273,26 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int
     return written(both.filter(common * 100 >= total * percent).select("a", "b"), "links")
 
 
+def _split_buckets(members: DataFrame, label: DataFrame) -> DataFrame:
+    """(bucket, node, component) of the buckets whose members lie in more than one component."""
+    placed = members.join(label, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("component"))
+    several = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
+    return placed.join(several.select("bucket"), "bucket", "left_semi")
+
+
+def _another_round(
+    pairs: DataFrame, tried: DataFrame, links: DataFrame, label: DataFrame, docs: DataFrame, nodes: DataFrame,
+    percent: int, doc_id: str, text: str, estimated: bool = False,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Confirm pairs not tried before: all pairs tried so far, all links and the components they give."""
+    fresh = pairs.join(tried, ["a", "b"], "left_anti")
+    fresh = written(fresh if estimated else _estimated(fresh, nodes, percent / 100), "pairs")
+    if fresh.isEmpty():
+        return tried, links, label
+    links = links.unionByName(_confirmed(fresh, docs, nodes, percent, doc_id, text))
+    return tried.unionByName(fresh), links, components(links)
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable by links, its own included) and kept."""
     threshold = percent / 100
@@ -286,24 +310,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     likely = written(_estimated(star, nodes, threshold), "pairs")
     links = _confirmed(likely, docs, nodes, percent, doc_id, text)
 
+    others = members.filter("node <> leader").select("bucket", "node")
     label = components(links)
-    placed = (
-        members.filter("node <> leader")
-        .select("bucket", "node")
-        .join(label, "node", "left")
-        .select("bucket", "node", F.coalesce("root", "node").alias("component"))
-    )
-    still_open = (
-        placed.groupBy("bucket")
-        .agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"))
-        .filter("least <> most")
-        .select("bucket", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))
-    )
-    rest = written(_compared(placed.join(still_open, "bucket"), nodes, threshold).join(likely, ["a", "b"], "left_anti"), "pairs")
-    if rest.isEmpty():
-        final = label
-    else:
-        final = components(links.unionByName(_confirmed(rest, docs, nodes, percent, doc_id, text)))
+    split = _split_buckets(others, label)
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
+    first = split.withColumn("rank", rank).filter(F.col("rank") <= LEADERS).select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"))
+    crossed = split.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb")).join(first, "bucket").filter("ca <> cb")
+    second = crossed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tried, links, label = _another_round(second, likely, links, label, docs, nodes, percent, doc_id, text)
+
+    split = _split_buckets(others, label)
+    sizes = split.groupBy("bucket").count().select("bucket", F.ceil(F.col("count") / BLOCK).cast("long").alias("blocks"))
+    third = _compared(split.join(sizes, "bucket"), nodes, threshold)
+    _, links, final = _another_round(third, tried, links, label, docs, nodes, percent, doc_id, text, estimated=True)
     smallest = nodes.join(final, "node").groupBy("root").agg(F.min("lead").alias("component_id"))
     groups = nodes.join(final, "node", "left").join(smallest, "root", "left").select("node", F.coalesce("component_id", "lead").alias("component_id"))
     found = all_rows.select("doc_id", "n_shingles", "node").join(groups, "node", "left")

@@ -208,3 +208,27 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
     return quality_rules(docs, trusted).select("doc_id", *COUNTS, "base_failed", "kept", "llr")
+
+
+@registered("op4_language_id")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depsignal.llm.language_id import fit, fold, predict
+
+    docs = table(spark, sf_dir, "documents")
+    network = fit(docs.filter(F.coalesce(fold("doc_id", 3), F.lit(0)) != 1))
+    found = predict(docs.select("doc_id", "text"), network)
+    held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@registered("op5_quality_trees")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depsignal.llm.language_id import fold
+    from depsignal.llm.quality_trees import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(fold("doc_id", 4) != 2)
+    found = score(docs, fit(docs, labels))
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
+    predicted = F.when(F.col("score") >= 0.7, 1).otherwise(0)
+    return found.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))

@@ -12,7 +12,7 @@ numbers do not depend on partitioning, so neither does any verdict.
 
 Everything on the main path is DataFrame functions. A table of counts has at
 most BUCKETS rows, whatever the corpus, and enters the scoring pass as one
-array from a scalar subquery; the corpus is not shuffled.
+array from a scalar subquery. Texts are not shuffled, only a sum for each.
 
 Defined cases: a null text has no words; a document without n-grams scores 0;
 an empty target or corpus scores everything 0; repeated rows count each;
@@ -42,29 +42,28 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 def word_list(text: Column) -> Column:
     """The words of a text, as they are written."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS, -1), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS, -1), "")
 
 
-def _window_hashes(hashes: Column) -> Column:
-    starts = F.sequence(F.lit(1), F.size(hashes) - (WINDOW - 1))
-    return F.when(
-        F.size(hashes) >= WINDOW, F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, WINDOW)))
-    ).otherwise(F.expr("cast(array() as array<long>)"))
+def _runs(length: int) -> Column:
+    """The hash of each run of ``length`` words, from the column _hashes."""
+    starts = F.slice("_hashes", F.lit(1), F.greatest(F.size("_hashes") - (length - 1), F.lit(0)))
+    return F.transform(starts, lambda h, i: F.xxhash64(h, *[F.get("_hashes", i + k) for k in range(1, length)]))
 
 
 def _with_repeats(rows: DataFrame) -> DataFrame:
-    """_repeats: how many words lie in a window that occurs twice or more.
-
-    Windows are sorted with their places; equal neighbours occur repeatedly.
-    Over the sorted places of these, each adds its distance to the next one, up
-    to a window. Each step is a column of its own, so that a function over its
-    elements looks up neighbours in a finished array. Most texts repeat no
-    window, which a set of the hashes tells before anything is sorted.
+    """_repeats: how many words lie in a window that occurs twice or more, from the column _hashes.
+
+    A text in which no run of half a window recurs has no such window; a set
+    of the runs' hashes tells, and only the other texts go on. Their windows are
+    sorted with their places; equal neighbours occur repeatedly. Over the
+    sorted places of these, each adds its distance to the next one, up to a
+    window. Each step is a column of its own, so that a function over its
+    elements looks up neighbours in a finished array.
     """
-    none = F.expr("cast(null as array<struct<h: bigint, i: int>>)")
-    repeated = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    placed = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    rows = rows.withColumn("_placed", F.when(repeated, placed).otherwise(none))
+    rows = rows.withColumn("_half", _runs(WINDOW // 2))
+    placed = F.sort_array(F.transform(_runs(WINDOW), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    rows = rows.withColumn("_placed", F.when(F.size(F.array_distinct("_half")) < F.size("_half"), placed))
     near = lambda x, k: F.coalesce(F.get("_placed", k)["h"] == x["h"], F.lit(False))
     again = F.filter("_placed", lambda x, k: near(x, k + 1) | near(x, k - 1))
     rows = rows.withColumn("_places", F.sort_array(F.transform(again, lambda x: x["i"])))
@@ -73,11 +72,10 @@ def _with_repeats(rows: DataFrame) -> DataFrame:
 
 
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The five counts, base_failed, and the working columns _hashes and _buckets."""
+    """All columns, the five counts and base_failed."""
     plain = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.withColumn("_words", word_list(plain))
-    rows = rows.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
-    rows = _with_repeats(rows.withColumn("_windows", _window_hashes(F.col("_hashes"))))
+    rows = _with_repeats(rows.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w))))
     lines = F.filter(F.split(plain, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = rows.select(
         *[f"`{c}`" for c in docs.columns],
@@ -86,30 +84,30 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         F.regexp_count(plain, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.col("_repeats").cast("long").alias("n_repeat_words"),
-        "_hashes",
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return rows.withColumn("base_failed", failed)
 
 
-def buckets(hashes: Column) -> Column:
-    """Buckets of all unigrams and bigrams, from the words' hashes."""
-    single = F.transform(hashes, lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int"))
-    pairs = F.transform(
-        F.slice(hashes, 2, F.greatest(F.size(hashes) - 1, F.lit(0))),
-        lambda h, i: F.pmod(F.xxhash64(F.get(hashes, i), h), F.lit(BUCKETS)).cast("int"),
+def grams(docs: DataFrame, text: str, *keep: Column) -> DataFrame:
+    """A row for each word of each text: the kept columns, the bucket of the word and that of it and the next (-1 at the end)."""
+    rows = docs.select(*keep, word_list(F.col(text).cast("string")).alias("_words"))
+    pairs = F.arrays_zip(F.col("_words").alias("word"), F.slice("_words", F.lit(2), F.size("_words") + 1).alias("next"))
+    names = rows.columns[:-1]
+    return rows.select(*names, F.explode(pairs).alias("_pair")).select(
+        *names,
+        F.pmod(F.xxhash64("_pair.word"), F.lit(BUCKETS)).cast("int").alias("single"),
+        F.when(F.col("_pair.next").isNull(), -1)
+        .otherwise(F.pmod(F.xxhash64("_pair.word", "_pair.next"), F.lit(BUCKETS)).cast("int"))
+        .alias("double"),
     )
-    return F.concat(single, pairs)
 
 
-def bucket_counts(docs: DataFrame, text: str = "text", trusted: Column | None = None) -> DataFrame:
+def bucket_counts(docs: DataFrame, text: str, trusted: Column) -> DataFrame:
     """(bucket, raw, target): n-grams in all documents and in those for which ``trusted`` holds."""
-    hashes = F.transform(word_list(F.col(text).cast("string")), lambda w: F.xxhash64(w))
-    flag = F.coalesce(trusted, F.lit(False)) if trusted is not None else F.lit(True)
-    grams = docs.select(flag.alias("trusted"), hashes.alias("_hashes")).select(
-        "trusted", F.explode(buckets(F.col("_hashes"))).alias("bucket")
-    )
-    return grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("trusted").alias("target"))
+    found = grams(docs, text, F.coalesce(trusted, F.lit(False)).alias("trusted"))
+    each = found.select("trusted", F.explode(F.array("single", "double")).alias("bucket")).filter("bucket >= 0")
+    return each.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("trusted").alias("target"))
 
 
 def ratios(counts: DataFrame) -> DataFrame:
@@ -125,21 +123,25 @@ def ratios(counts: DataFrame) -> DataFrame:
     return listed.select(F.sort_array("t").alias("t")).select(F.col("t.value").alias("table"))
 
 
-def judge(docs: DataFrame, table: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def judge(docs: DataFrame, table: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """All columns, the counts, base_failed, llr (per n-gram) and kept; ``table`` comes from ``ratios``."""
     taken = (*COUNTS, "base_failed", "llr", "kept")
     names = [c for c in docs.columns if c.lower() not in taken]
-    rows = with_counts(docs.select(*[f"`{c}`" for c in names]), text).withColumn("_table", table.scalar())
-    grams = F.greatest(2 * F.col("n_words") - 1, F.lit(1))
-    summed = F.aggregate(buckets(F.col("_hashes")), F.lit(0).cast("long"), lambda a, b: a + F.get(F.col("_table"), b))
-    rows = rows.withColumn("_sum", summed)
+    key = F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"))
+    rows = with_counts(docs.select(*[f"`{c}`" for c in names]).withColumn("_key", key), text)
+    values = grams(docs, text, key.alias("_key")).withColumn("_table", table.scalar())
+    worth = F.get("_table", "single") + F.when(F.col("double") < 0, 0).otherwise(F.coalesce(F.get("_table", F.greatest("double", F.lit(0))), F.lit(0)))
+    # rows that repeat an id and text fall in one sum, in which the mean stays the same
+    sums = values.groupBy(F.col("_key").alias("_of")).agg(F.sum(worth).alias("_sum"), F.sum(F.when(F.col("double") < 0, 1).otherwise(2)).alias("_grams"))
+    rows = rows.join(sums, F.col("_key").eqNullSafe(F.col("_of")), "left")
+    total, size = F.coalesce("_sum", F.lit(0)), F.coalesce("_grams", F.lit(1))
     # whole numbers on both sides: the verdict has no rounding
-    enough = F.col("_sum") >= grams * int(round(threshold * 1_000_000))
+    enough = total >= size * int(round(threshold * 1_000_000))
     return rows.select(
         *[f"`{c}`" for c in names],
         *COUNTS,
         "base_failed",
-        (F.col("_sum") / grams / 1_000_000).alias("llr"),
+        (total / size / 1_000_000).alias("llr"),
         (~F.col("base_failed") & enough).alias("kept"),
     )
 
@@ -150,4 +152,4 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", t
     marked = docs.select(doc_id, text).join(ids, F.col(doc_id) == F.col("_trusted_id"), "left")
     # written once, since the totals and the ratios both need it
     table = ratios(written(bucket_counts(marked, text, F.col("_trusted_id").isNotNull()), "bucket-counts"))
-    return judge(docs, table, text, threshold)
+    return judge(docs, table, doc_id, text, threshold)

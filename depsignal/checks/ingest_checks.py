@@ -38,6 +38,25 @@ def _event_files(spark, sf):
     return path
 
 
+def _cut_lines(spark, sf):
+    """The bronze events as JSON lines; those of small values lack their end."""
+    path = scratch_path(spark, "lines")
+    rows = t.bronze(spark, sf)
+    line = F.to_json(F.struct(*[c for c in rows.columns if c != "value"]))
+    cut = F.when(F.col("value") < 2, F.expr("left(line, length(line) - 3)")).otherwise(F.col("line"))
+    rows.select(line.alias("line"), "value").select(cut.alias("value")).write.option(
+        "compression", "gzip"
+    ).text(path)
+    return path
+
+
+def _half(spark, sf, path, late):
+    """Write one half of January's events, as more files of the same folder."""
+    early = F.col("created_at") < "2024-01-16"
+    rows = t.bronze(spark, sf).drop("value").filter(~early if late else early)
+    rows.write.mode("append").option("compression", "gzip").json(path)
+
+
 @check("src1_read_events", _FLAT_SQL)
 def src1(spark, sf):
     clean, _ = events.split_corrupt(events.read_events(spark, _event_files(spark, sf)))
@@ -49,13 +68,7 @@ def src1(spark, sf):
     "SELECT CASE WHEN value >= 2 THEN id END AS id, value < 2 AS corrupt FROM bronze",
 )
 def src2(spark, sf):
-    path = scratch_path(spark, "lines")
-    rows = t.bronze(spark, sf)
-    line = F.to_json(F.struct(*[c for c in rows.columns if c != "value"]))
-    cut = F.when(F.col("value") < 2, F.expr("left(line, length(line) - 3)")).otherwise(F.col("line"))
-    rows.select(line.alias("line"), "value").select(cut.alias("value")).write.option(
-        "compression", "gzip"
-    ).text(path)
+    path = _cut_lines(spark, sf)
     clean, bad = events.split_corrupt(events.read_events(spark, path))
     return clean.select("id", F.lit(False).alias("corrupt")).unionByName(
         bad.select(F.lit(None).cast("string").alias("id"), F.lit(True).alias("corrupt"))
@@ -105,7 +118,8 @@ def src4(spark, sf):
 )
 def src5(spark, sf):
     path = scratch_path(spark, "reports")
-    documents.write_reports(t.reports(spark, sf), path)
+    for _ in range(2):  # a report of the same name replaces the earlier one
+        documents.write_reports(t.reports(spark, sf), path)
     stored = documents.read_reports(spark, path)
     return stored.select(
         "file_name", F.regexp_count("content", F.lit(r"(?m)^### .+")).cast("bigint").alias("sections")
@@ -117,9 +131,10 @@ def src5(spark, sf):
     """SELECT split_part(repo_full_name, '/', 1) AS org_name, CAST(created_at AS DATE) AS date,
       count(*) AS events FROM bronze GROUP BY ALL""",
 )
-def snk1(spark, sf):
+def snk1(spark, sf, layout=("org_name", "date")):
     path = scratch_path(spark, "raw")
-    events.write_bronze(t.bronze(spark, sf).drop("value"), path, ("org_name", "date"))
+    for _ in range(2):  # the same hours once more replace themselves
+        events.write_bronze(t.bronze(spark, sf).drop("value"), path, layout)
     clean, _ = events.split_corrupt(events.read_events(spark, path))
     return clean.groupBy("org_name", "date").agg(F.count("id").alias("events"))
 
@@ -228,7 +243,12 @@ def snk8(spark, sf):
         "vec_id", "label", F.explode(F.array(F.lit(1), F.lit(2))).alias("version")
     )
     new = new.withColumn("label", F.col("label") + F.col("version") * 100)
-    return tables.upsert_by_id(stored, new, "vec_id", "version")
+    name = "depsignal_vectors"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    tables.upsert_table(spark, name, stored, "vec_id", "version")
+    for _ in range(2):
+        found = tables.upsert_table(spark, name, new, "vec_id", "version", ("label",))
+    return found
 
 
 @check(
@@ -237,10 +257,12 @@ def snk8(spark, sf):
 )
 def snk9(spark, sf):
     name = "depsignal_silver"
-    events.create_silver(spark, name, scratch_path(spark, name), recreate=True)
-    t.first_delivery(spark, sf).select(*spark.table(name).columns).hint(
-        "rebalance", "event_date"
-    ).write.insertInto(name)
+    path = scratch_path(spark, name)
+    for _ in range(2):  # made anew at the same path, the table begins empty
+        events.create_silver(spark, name, path, recreate=True)
+        t.first_delivery(spark, sf).select(*spark.table(name).columns).hint(
+            "rebalance", "event_date"
+        ).write.insertInto(name)
     return spark.table(name).groupBy("event_date").agg(F.count(F.lit(1)).alias("events"))
 
 
@@ -403,9 +425,10 @@ def agg6(spark, sf):
     return metrics.event_type_counts(silver.filter_event_types(t.bronze(spark, sf)))
 
 
-@check("str1_stream_events", _FLAT_SQL)
+@check("str1_stream_events", _FLAT_SQL + " WHERE value >= 2")
 def str1(spark, sf):
-    source, sink = _event_files(spark, sf), scratch_path(spark, "sink")
+    # lines of small values are cut, so that they are no JSON
+    source, sink = _cut_lines(spark, sf), scratch_path(spark, "sink")
     stream = _flat(streams.stream_events(spark, source, max_files=4))
     streams.run_available(stream, sink, scratch_path(spark, "progress")).awaitTermination()
     return spark.read.schema(stream.schema).parquet(sink)
@@ -416,24 +439,23 @@ def str1(spark, sf):
     "SELECT DISTINCT event_id, event_type, repo_full_name, event_date FROM first_delivery",
 )
 def str2(spark, sf):
-    source, target = _event_files(spark, sf), scratch_path(spark, "silver")
+    source, target = scratch_path(spark, "bronze"), scratch_path(spark, "silver")
     progress = scratch_path(spark, "progress")
-    # the same files once more under other names: every event arrives twice
-    t.bronze(spark, sf).drop("value").write.mode("append").option("compression", "gzip").json(source)
     ingestion.start_silver(t.first_delivery(spark, sf), target)
-    stream = streams.stream_events(spark, source, max_files=6)
-    streams.stream_insert_only(stream, target, progress).awaitTermination()
+    # the later half comes first, then the earlier one, then all events once more
+    for late in (True, False, True, False):
+        _half(spark, sf, source, late)
+        stream = streams.stream_events(spark, source, max_files=6)
+        streams.stream_insert_only(stream, target, progress).awaitTermination()
     stored = spark.read.schema(schemas.SILVER).parquet(target)
     return stored.select("event_id", "event_type", "repo_full_name", "event_date")
 
 
-@check(
-    "str3_stream_hour_stats",
-    f"""SELECT * FROM ({_HOURS}) WHERE date + to_hours(hour + 1)
-      <= (SELECT max(created_at) - INTERVAL 10 MINUTE FROM bronze)""",
-)
+@check("str3_stream_hour_stats", _HOURS)
 def str3(spark, sf):
-    source, sink = _event_files(spark, sf), scratch_path(spark, "sink")
-    stream = streams.stream_hour_stats(streams.stream_events(spark, source), t.curated(spark, sf))
-    streams.run_available(stream, sink, scratch_path(spark, "progress")).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(sink)
+    source, store = scratch_path(spark, "bronze"), scratch_path(spark, "counts")
+    progress = scratch_path(spark, "progress")
+    for late in (True, False):
+        _half(spark, sf, source, late)
+        streams.stream_hour_counts(streams.stream_events(spark, source, max_files=2), store, progress).awaitTermination()
+    return streams.stored_hour_stats(spark, store, t.curated(spark, sf))

@@ -124,14 +124,14 @@ def txt6(spark, sf):
 @check(
     "txt7_github_slug",
     r"""+ u AS (SELECT page_id, regexp_replace(url, '^https?://[^/]+',
-        CASE WHEN page_id < 100 THEN 'git+https://github.com' ELSE 'https://code.example.org' END)
+        CASE WHEN page_id % 5 < 2 THEN 'git+https://github.com' ELSE 'https://code.example.org' END)
         || CASE WHEN contains(url, '#') THEN '' ELSE '.git' END AS link FROM pages),
     s AS (SELECT *, regexp_replace(regexp_replace(link, '^git\+', ''), '\.git$', '') AS plain FROM u)
     SELECT page_id, link, nullif(regexp_extract(plain, 'github\.com[/:]([^/\s]+)/([^/\s#?]+)', 1) || '/'
       || regexp_extract(plain, 'github\.com[/:]([^/\s]+)/([^/\s#?]+)', 2), '/') AS slug FROM s""",
 )
 def txt7(spark, sf):
-    host = F.when(F.col("page_id") < 100, "git+https://github.com").otherwise(
+    host = F.when(F.col("page_id") % 5 < 2, "git+https://github.com").otherwise(
         "https://code.example.org"
     )
     path = F.regexp_replace("url", "^https?://[^/]+", "")

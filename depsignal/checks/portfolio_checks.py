@@ -306,7 +306,7 @@ def dq1(spark, sf):
 
 @check(
     "dq2_check_unique",
-    "SELECT event_id, count(*) AS copies FROM silver GROUP BY ALL HAVING count(*) > 1",
+    "SELECT event_id, count(*) AS copies FROM silver WHERE event_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1",
 )
 def dq2(spark, sf):
     return quality.check_unique(t.silver_events(spark, sf), "event_id")

@@ -61,7 +61,8 @@ silver AS (
 staged AS (
   SELECT * FROM silver
   QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ingested_at DESC,
-    actor_id DESC NULLS LAST, payload_action DESC NULLS LAST, payload_commits DESC NULLS LAST) = 1
+    actor_id DESC NULLS LAST, payload_action DESC NULLS LAST, payload_commits DESC NULLS LAST,
+    repo_id DESC NULLS LAST) = 1
 ),
 sliced AS (
   SELECT *, DATE '2024-01-10' + CAST(10 * (date_diff('day', DATE '2024-01-01', event_date) // 10)

@@ -222,11 +222,10 @@ def vec1(spark, sf):
     f"""+ q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0)
     SELECT vec_id, e.label, {rnd("list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT v FROM q))", 4)}
       AS similarity FROM embeddings e
-    ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT v FROM q)) DESC, vec_id LIMIT 20""",
+    ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT v FROM q)) DESC, vec_id LIMIT 50""",
 )
 def vec1_all(spark, sf):
     query, _ = _query_vector(spark, sf)
-    # a request for more than the largest k is cut to it
     return vectors.cosine_topk(t.table(spark, sf, "embeddings"), query, 50).drop("embedding")
 
 

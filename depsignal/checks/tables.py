@@ -1,7 +1,7 @@
 """The given test tables seen as events, scorecards, watch-lists and manifests.
 
 Every function reads whole tables; the oracles repeat the same projections in
-SQL (see ``oracles.py``).
+SQL (see ``prelude.py``).
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession

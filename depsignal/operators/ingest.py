@@ -33,10 +33,24 @@ def ingest_hour_stats(raw: DataFrame, projects: DataFrame) -> DataFrame:
     Events are counted per hour and repository before the watch-list is
     joined, so a hot repository is one row per hour in the join.
     """
+    return hour_stats_of(repo_hour_counts(raw), projects)
+
+
+def repo_hour_counts(raw: DataFrame) -> DataFrame:
+    """Events of each hour and repository."""
     at = event_time("created_at")
-    per_repo = raw.groupBy(
-        F.to_date(at).alias("date"), F.hour(at).alias("hour"), F.col("repo.name").alias("_repo")
-    ).agg(F.count(F.lit(1)).alias("n"))
+    hour = [F.to_date(at).alias("date"), F.hour(at).alias("hour"), F.col("repo.name").alias("repo")]
+    return raw.groupBy(*hour).agg(F.count(F.lit(1)).alias("n"))
+
+
+def hour_counts(parts: DataFrame) -> DataFrame:
+    """Partial counts of hours and repositories, added up."""
+    return parts.groupBy("date", "hour", "repo").agg(F.sum("n").alias("n"))
+
+
+def hour_stats_of(counts: DataFrame, projects: DataFrame) -> DataFrame:
+    """The statistics of hours from the counts of their repositories."""
+    per_repo = counts.withColumnRenamed("repo", "_repo")
     watched = projects.select(
         F.concat_ws("/", "org", "repo").alias("_repo"), F.lit(True).alias("_hit")
     ).distinct()

@@ -16,8 +16,8 @@ def check_not_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def check_unique(df: DataFrame, key: str) -> DataFrame:
-    """Keys seen more than once."""
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    """Keys seen more than once; NULL is not tested."""
+    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
 
 
 def check_accepted(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:

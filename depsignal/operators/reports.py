@@ -142,11 +142,11 @@ def _number(c: Column, template: str = "%,d") -> Column:
     return F.when(c.isNotNull(), F.format_string(template, c)).otherwise("N/A")
 
 
-def assessment_brief(scored: DataFrame, signals: DataFrame) -> DataFrame:
+def assessment_brief(scored: DataFrame, signals: DataFrame, n_issues: int = 5, n_pulls: int = 3) -> DataFrame:
     """Text per repository that gathers scores and recent activity for a reviewer.
 
     ``signals`` holds stars, forks, open_issues, language, archived, pushed_at
-    and the arrays issues and prs; five issues and three pull requests are shown.
+    and the arrays issues and prs; the first ``n_issues`` and ``n_pulls`` of them are shown.
     """
 
     none = F.lit("")
@@ -206,10 +206,10 @@ def assessment_brief(scored: DataFrame, signals: DataFrame) -> DataFrame:
         plain("Language", missing("language")),
         plain("Archived", F.coalesce(F.col("archived"), F.lit(False)).cast("string")),
         plain("Last push", missing("pushed_at")),
-        F.lit("\n## Open issues (up to 5)"),
-        listing("issues", 5, issue, "  None retrieved."),
-        F.lit("\n## Open pull requests (up to 3)"),
-        listing("prs", 3, pull, "  None retrieved."),
+        F.lit(f"\n## Open issues (up to {n_issues})"),
+        listing("issues", n_issues, issue, "  None retrieved."),
+        F.lit(f"\n## Open pull requests (up to {n_pulls})"),
+        listing("prs", n_pulls, pull, "  None retrieved."),
     ]
     joined = scored.join(signals, "repo_full_name", "left")
     return joined.select("repo_full_name", F.concat_ws("\n", *parts).alias("brief"))
@@ -346,8 +346,9 @@ def report_meta(reports: DataFrame) -> DataFrame:
 # -- records -----------------------------------------------------------------
 
 
-def fallback_text(records: DataFrame) -> DataFrame:
-    """Replace blank assessments by a sentence; add a 300 character excerpt."""
+def fallback_text(records: DataFrame, excerpt_chars: int = 300) -> DataFrame:
+    """Replace blank assessments by a sentence; add an excerpt beside the full text."""
+    # fixed value: the sentence
     sentence = F.concat(
         F.col("repo_full_name"),
         F.format_string(" — health score %.1f/10, recommendation: ", F.col("health_score")),
@@ -356,7 +357,7 @@ def fallback_text(records: DataFrame) -> DataFrame:
     )
     text = F.when(blank(F.col("assessment_text")), sentence).otherwise(F.col("assessment_text"))
     return records.withColumn("assessment_text", text).withColumn(
-        "excerpt", F.substring("assessment_text", 1, 300)
+        "excerpt", F.substring("assessment_text", 1, excerpt_chars)
     )
 
 

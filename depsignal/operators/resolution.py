@@ -23,6 +23,9 @@ KNOWN = (
     ("openai", "openai/openai-python"),
 )
 
+# The ecosystems whose packages can be resolved.
+ECOSYSTEMS = ("python", "node", "java", "go", "rust")
+
 # Project URL keys in order of trust.
 PROJECT_URL_KEYS = ("Source", "Source Code", "Homepage", "Repository", "Code")
 
@@ -73,11 +76,13 @@ def _registry_hit(registry: DataFrame) -> DataFrame:
             F.coalesce(_hit(repository, "crates", "high"), _hit(home, "crates", "high")),
         )
     )
+    # a package of an ecosystem outside the five is never searched for
+    found = F.when(eco.isin(*ECOSYSTEMS), _hit(F.col("_found"), "github_search", "low"))
     return parsed.select(
         "ecosystem",
         "name",
         hit.cast(_HIT).alias("_registry"),
-        _hit(F.col("_found"), "github_search", "low").cast(_HIT).alias("_search"),
+        found.cast(_HIT).alias("_search"),
     )
 
 

@@ -60,7 +60,7 @@ def require_keys(silver: DataFrame) -> DataFrame:
 
 # Columns in which copies of one event can differ: all others are part of the
 # hashed key or follow from it.
-TIES = ("payload_action", "payload_commits")
+TIES = ("actor_id", "payload_action", "payload_commits", "repo_id")
 
 
 def dedup_latest(

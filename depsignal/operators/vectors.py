@@ -5,9 +5,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Labels a search may be restricted to, and the largest k.
+# Labels a search may be restricted to.
 LABELS = ("REPLACE", "UPGRADE", "MONITOR")
-MAX_K = 20
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -45,7 +44,7 @@ def cosine_topk(
     return (
         rows.withColumn("_s", cosine(F.col("embedding"), query))
         .orderBy(F.desc_nulls_last("_s"), key)
-        .limit(min(k, MAX_K))
+        .limit(k)
         .withColumn("similarity", F.round("_s", 4))
         .drop("_s")
     )

@@ -10,8 +10,14 @@ from depsignal.operators.scoring import recommend
 
 
 def assess(scores: DataFrame, texts: DataFrame, run_ts: str, **bounds) -> DataFrame:
-    """Report of one run: flagged repositories that have an assessment text."""
+    """Report of one run: flagged repositories that have an assessment text, and texts without a score row.
+
+    The latter are reported with an unknown score, for which
+    ``recommend`` gives the middle risk and MONITOR.
+    """
     chosen = flagged(scores, **bounds).join(texts, "repo_full_name")
+    unscored = texts.join(scores.select("repo_full_name"), "repo_full_name", "left_anti")
+    chosen = chosen.unionByName(unscored, allowMissingColumns=True)
     return render_report(recommend(chosen).withColumn("run_ts", F.lit(run_ts)))
 
 

@@ -21,22 +21,27 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_reports(spark: SparkSession, path: str, latest_only: bool = False) -> DataFrame:
-    """All risk reports, newest name first, or the newest only.
+    """All risk reports in no order, or the newest only, as they were written.
 
     A report is a file ``risk_report_*.md`` or, as Spark writes it, a file in
     a directory of that name.
     """
     name = F.regexp_extract("file_path", r"(risk_report_[^/]*\.md)", 1)
     files = _whole_files(spark, path).withColumn("file_name", name).filter("file_name != ''")
-    newest_first = files.select("file_name", "content").orderBy(F.col("file_name").desc())
-    return newest_first.limit(1) if latest_only else newest_first
+    if latest_only:
+        # the names tell which report is the newest; only its text is read
+        newest = files.agg(F.max("file_name")).first()[0]
+        files = files.filter(F.col("file_name") == F.lit(newest))
+    # the text writer ends each report with a line end of its own
+    return files.select("file_name", F.regexp_replace("content", r"\n\z", "").alias("content"))
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    """One directory per report, named like the report."""
+    """One directory per report, named like the report; a report of the same name is replaced."""
     (
         reports.select(F.col("file_name").alias("report"), "content")
-        .write.mode("append")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("report")
         .text(path)
     )

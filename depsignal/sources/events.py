@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from depsignal import schemas
 from depsignal.functions import names
 from depsignal.operators.silver import dedup_latest, event_time
+from depsignal.session import remove_path
 
 
 def read_events(spark: SparkSession, paths) -> DataFrame:
@@ -58,6 +59,9 @@ BRONZE_LAYOUT = ("org_name", "repo_name", "date", "hour")
 def write_bronze(raw: DataFrame, path: str, layout=BRONZE_LAYOUT) -> None:
     """Gzipped JSON lines below org / repository / date / hour.
 
+    A directory that the rows touch is replaced, so loading an hour again
+    leaves it as it was. Rows must therefore hold each of their hours whole.
+
     The rebalance hint lets adaptive execution split a hot directory over
     several writers and merge tiny ones. A long tail of quiet repositories
     makes many small files: give a coarser ``layout`` there, since org and
@@ -74,7 +78,8 @@ def write_bronze(raw: DataFrame, path: str, layout=BRONZE_LAYOUT) -> None:
     (
         keyed.select(*raw.columns, *layout)
         .hint("rebalance", *layout)
-        .write.mode("append")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*layout)
         .option("compression", "gzip")
         .json(path)
@@ -84,9 +89,14 @@ def write_bronze(raw: DataFrame, path: str, layout=BRONZE_LAYOUT) -> None:
 def create_silver(
     spark: SparkSession, name: str, path: str | None = None, recreate: bool = False
 ) -> DataFrame:
-    """The typed silver table, partitioned by event_date."""
+    """The typed silver table, partitioned by event_date.
+
+    ``recreate`` drops an earlier table with its rows, also those below ``path``.
+    """
     if recreate:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+        if path:
+            remove_path(spark, path)
     location = f"LOCATION '{path}'" if path else ""
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {name} ({schemas.SILVER}) "
@@ -95,31 +105,33 @@ def create_silver(
     return spark.table(name)
 
 
-def day_span(events: DataFrame) -> tuple:
-    """First and last event_date: one row, used to prune the target of a merge."""
-    row = events.agg(F.min("event_date").alias("lo"), F.max("event_date").alias("hi")).first()
-    return row["lo"], row["hi"]
+def days_of(events: DataFrame) -> list:
+    """The different event dates: as many values as days, used to prune the target of a merge."""
+    rows = events.select("event_date").filter("event_date IS NOT NULL").distinct().collect()
+    return sorted(r["event_date"] for r in rows)
 
 
 def merge_insert_only(
     target: DataFrame,
     incoming: DataFrame,
     key: str = "event_id",
-    span: tuple | None = None,
+    days: list | None = None,
     dedup: bool = True,
 ) -> DataFrame:
     """Rows of ``incoming`` whose key is not in ``target``; existing rows never change.
 
     Equal event ids share their event_date, because the timestamp is part of
-    the hashed key. So ``span``, the day range of the batch, prunes the target
-    to the touched partitions without losing matches. Copies inside the batch
-    are removed first, which also keeps a hot id from skewing the join.
+    the hashed key. So ``days``, the dates of the batch, prune the target to
+    the touched partitions without losing matches: one late event costs one
+    more day, not all days between. Copies inside the batch are removed first,
+    which also keeps a hot id from skewing the join.
     """
-    if span is not None:
-        target = target.filter(F.col("event_date").between(*[F.lit(d) for d in span]))
     if dedup:
         incoming = dedup_latest(incoming, key)
-    return incoming.join(target.select(key), key, "left_anti")
+    if days is None:
+        return incoming.join(target.select(key), key, "left_anti")
+    touched = target.filter(F.col("event_date").isin(days))
+    return incoming.join(touched.select("event_date", key), ["event_date", key], "left_anti").select(incoming.columns)
 
 
 def append_silver(rows: DataFrame, path: str) -> None:
@@ -135,11 +147,11 @@ def append_silver(rows: DataFrame, path: str) -> None:
 
 def merge_into_path(spark: SparkSession, path: str, incoming: DataFrame) -> None:
     """Insert-only merge of a materialised batch into the silver files at ``path``."""
-    lo, hi = day_span(incoming)
-    if lo is None:
+    days = days_of(incoming)
+    if not days:
         return
     target = spark.read.schema(schemas.SILVER).parquet(path)
-    append_silver(merge_insert_only(target, incoming, span=(lo, hi)), path)
+    append_silver(merge_insert_only(target, incoming, days=days), path)
 
 
 def merge_stats(before: DataFrame, incoming: DataFrame, after: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Tables derived once and stored: staging, models, overwrites, upserts, exports."""
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -73,9 +73,34 @@ def export_csv(scores: DataFrame, path: str) -> None:
     scores.select(*schemas.EXPORT_COLUMNS).write.mode("overwrite").option("header", True).csv(path)
 
 
-def upsert_by_id(target: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
-    """Target rows with the same id give way to the newest incoming row."""
-    w = Window.partitionBy(key).orderBy(F.col(order).desc())
+def upsert_by_id(
+    target: DataFrame, new: DataFrame, key: str, order: str, ties: Sequence[str] = ()
+) -> DataFrame:
+    """Target rows with the same id give way to the newest incoming row.
+
+    ``ties`` decide between equally new rows, larger values first; without them
+    the caller vouches that ``order`` is unique for each id.
+    """
+    w = Window.partitionBy(key).orderBy(*[F.col(c).desc_nulls_last() for c in (order, *ties)])
     newest = new.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
     kept = target.join(newest.select(key), key, "left_anti")
     return kept.unionByName(newest)
+
+
+def upsert_table(
+    spark: SparkSession, name: str, new: DataFrame, key: str, order: str, ties: Sequence[str] = ()
+) -> DataFrame:
+    """Upsert into the stored table ``name``, which is created if it is missing.
+
+    The new state is written to a folder of its own before the table points to
+    it, so a failure on the way leaves the old table whole.
+    """
+    fresh = scratch_path(spark, name)
+    if spark.catalog.tableExists(name):
+        rows = upsert_by_id(spark.table(name), new, key, order, ties)
+    else:
+        rows = upsert_by_id(new.limit(0), new, key, order, ties)
+    rows.write.parquet(fresh)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.catalog.createTable(name, path=fresh, source="parquet")
+    return spark.table(name)

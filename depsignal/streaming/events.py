@@ -1,23 +1,39 @@
-"""Incremental ingestion of new event files with Structured Streaming."""
+"""Incremental ingestion of new event files with Structured Streaming.
+
+No stream here keeps state or a watermark, so no event is ever too late: each
+micro-batch is merged or counted by itself, and running one again changes nothing.
+"""
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from depsignal import schemas
-from depsignal.operators.silver import bronze_to_silver, event_time
-from depsignal.sources.events import merge_into_path
+from depsignal.operators.ingest import hour_counts, hour_stats_of, repo_hour_counts
+from depsignal.operators.silver import bronze_to_silver
+from depsignal.session import remove_path, scratch_path
+from depsignal.sources.events import merge_into_path, split_corrupt
 from depsignal.sources.tables import materialize_once
 
 
-def stream_events(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """A stream over the event files below ``path``; the checkpoint remembers finished files."""
-    reader = spark.readStream.schema(schemas.BRONZE)
+def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """A stream over the event files below ``path``, bad lines as text; the checkpoint remembers finished files."""
+    reader = (
+        spark.readStream.schema(schemas.BRONZE_READ)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", schemas.CORRUPT)
+    )
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.json(path)
 
 
+def stream_events(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """The well-formed events of ``stream_lines``."""
+    clean, _ = split_corrupt(stream_lines(spark, path, max_files))
+    return clean
+
+
 def run_available(
     stream: DataFrame, sink: str, checkpoint: str, mode: str = "append"
 ) -> StreamingQuery:
@@ -33,60 +49,51 @@ def run_available(
 
 
 def stream_insert_only(
-    bronze: DataFrame,
-    target: str,
-    checkpoint: str,
-    delay: str = "1 hour",
-    ingested_at: Column | None = None,
+    bronze: DataFrame, target: str, checkpoint: str, ingested_at: Column | None = None
 ) -> StreamingQuery:
-    """Insert each event once into the silver files at ``target``.
+    """Insert each event once into the silver files at ``target``, however late it comes.
 
-    State drops copies that arrive within the watermark delay; older copies,
-    and a batch repeated after a failure, are caught by the insert-only merge.
+    The insert-only merge drops copies within the batch and against the days
+    it touches, also of a batch that is repeated after a failure.
     """
     silver = bronze_to_silver(bronze, ingested_at)
-    unique = silver.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["event_id"])
 
     def merge(batch: DataFrame, _: int) -> None:
-        merge_into_path(batch.sparkSession, target, materialize_once(batch))
+        spark = batch.sparkSession
+        path = scratch_path(spark, "micro-batch")
+        merge_into_path(spark, target, materialize_once(batch, path))
+        remove_path(spark, path)
 
     return (
-        unique.writeStream.foreachBatch(merge)
+        silver.writeStream.foreachBatch(merge)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def stream_hour_stats(bronze: DataFrame, projects: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Events read and matched, and repositories matched, per closed hour.
+COUNTS = "date DATE, hour INT, repo STRING, n BIGINT, batch BIGINT"
+
+
+def stream_hour_counts(bronze: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
+    """Keep the events of each hour and repository, one folder of partial counts per batch below ``store``.
 
-    Counting per hour and repository first keeps the state to counters; the
-    second aggregation then counts repositories without collecting names.
+    A repeated batch replaces its own folder. ``stored_hour_stats`` adds the parts up.
     """
-    watched = projects.select(
-        F.concat_ws("/", "org", "repo").alias("_repo"), F.lit(True).alias("_hit")
-    ).distinct()
-    timed = bronze.select(
-        event_time("created_at").alias("at"), F.col("repo.name").alias("_repo")
-    ).withWatermark("at", delay)
-    per_repo = (
-        timed.join(watched, "_repo", "left")
-        .groupBy(F.window("at", "1 hour"), "_repo", F.coalesce("_hit", F.lit(False)).alias("_hit"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+
+    def count(batch: DataFrame, number: int) -> None:
+        part = repo_hour_counts(batch).withColumn("batch", F.lit(number).cast("bigint"))
+        part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(store)
+
     return (
-        per_repo.groupBy(F.window(F.window_time("window"), "1 hour").alias("window"))
-        .agg(
-            F.sum("n").alias("events_downloaded"),
-            F.sum(F.when(F.col("_hit"), F.col("n")).otherwise(0)).alias("events_filtered"),
-            F.count_if("_hit").alias("projects_with_events"),
-        )
-        .select(
-            F.to_date("window.start").alias("date"),
-            F.hour("window.start").alias("hour"),
-            "events_downloaded",
-            "events_filtered",
-            "projects_with_events",
-        )
+        bronze.writeStream.foreachBatch(count)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
+
+
+def stored_hour_stats(spark: SparkSession, store: str, projects: DataFrame) -> DataFrame:
+    """Events read and matched, and repositories matched, of every hour counted so far."""
+    parts = spark.read.schema(COUNTS).parquet(store)
+    return hour_stats_of(hour_counts(parts), projects)

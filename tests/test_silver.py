@@ -142,11 +142,10 @@ def test_load_is_idempotent(spark, tmp_path):
 
 
 def test_merge_keeps_batch_copies_only_on_request(spark):
-    schema = "event_id string, ingested_at int, payload_action string, payload_commits int"
-    target = spark.createDataFrame([("a", 1, None, None)], schema)
-    incoming = spark.createDataFrame(
-        [("a", 2, None, None), ("b", 1, None, None), ("b", 2, None, None)], schema
-    )
+    schema = "event_id string, ingested_at int, actor_id long, payload_action string, payload_commits int, repo_id long"
+    none = (None,) * 4
+    target = spark.createDataFrame([("a", 1, *none)], schema)
+    incoming = spark.createDataFrame([("a", 2, *none), ("b", 1, *none), ("b", 2, *none)], schema)
     assert events.merge_insert_only(target, incoming).count() == 1
     assert events.merge_insert_only(target, incoming, dedup=False).count() == 2
     after = target.unionByName(events.merge_insert_only(target, incoming))
@@ -176,6 +175,6 @@ def test_create_silver(spark, tmp_path):
     spark.sql("DROP TABLE t_silver")
 
 
-def test_day_span(spark):
+def test_days_of(spark):
     df = spark.sql("SELECT explode(array(date'2024-01-03', date'2024-01-01')) AS event_date")
-    assert events.day_span(df) == (datetime.date(2024, 1, 1), datetime.date(2024, 1, 3))
+    assert events.days_of(df) == [datetime.date(2024, 1, 1), datetime.date(2024, 1, 3)]

@@ -31,11 +31,20 @@ def test_every_file_once(spark, tmp_path):
     assert run() == t.bronze(spark, SF).count()
 
 
-def test_insert_only_stream_equals_batch(spark, tmp_path, rows):
+def test_bad_lines_are_skipped(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"id": "1", "type": "PushEvent"}\n{"id": "2", "ty\n\nnot json\n{"id": "3"}\n')
+    stream = streams.stream_events(spark, str(tmp_path / "in"))
+    streams.run_available(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    stored = spark.read.schema(schemas.BRONZE).parquet(str(tmp_path / "out"))
+    assert sorted(r.id for r in stored.collect()) == ["1", "3"]
+
+
+def test_insert_only_stream_keeps_late_events(spark, tmp_path, rows):
     source, target, progress = (str(tmp_path / n) for n in ("in", "silver", "cp"))
     batch = t.first_delivery(spark, SF)
     start_silver(batch, target)
-    for half in (0, 1, 0):  # the first half comes again, far behind the watermark
+    for half in (1, 0, 1):  # the later half comes first, and once more at the end
         write(spark, source, half)
         stream = streams.stream_events(spark, source)
         streams.stream_insert_only(stream, target, progress).awaitTermination()
@@ -44,14 +53,22 @@ def test_insert_only_stream_equals_batch(spark, tmp_path, rows):
     assert rows(stored, *columns) == rows(silver.dedup_latest(batch), *columns)
 
 
-def test_hour_stats_stream_equals_batch(spark, tmp_path, rows):
-    source, sink, progress = (str(tmp_path / n) for n in ("in", "out", "cp"))
-    write(spark, source)
+def test_hour_counts_keep_late_events_and_the_last_hour(spark, tmp_path, rows):
+    source, store, progress = (str(tmp_path / n) for n in ("in", "counts", "cp"))
     projects = t.curated(spark, SF)
-    stream = streams.stream_hour_stats(streams.stream_events(spark, source), projects)
-    streams.run_available(stream, sink, progress).awaitTermination()
-    got = spark.read.schema(stream.schema).parquet(sink)
+    for half in (1, 0):
+        write(spark, source, half)
+        streams.stream_hour_counts(streams.stream_events(spark, source), store, progress).awaitTermination()
+    batch = ingest.ingest_hour_stats(t.bronze(spark, SF), projects)
+    assert rows(streams.stored_hour_stats(spark, store, projects), *batch.columns) == rows(batch)
+
+
+def test_a_repeated_batch_counts_once(spark, tmp_path, rows):
+    source, store = str(tmp_path / "in"), str(tmp_path / "counts")
+    projects = t.curated(spark, SF)
+    write(spark, source)
+    for progress in ("first", "lost"):  # without its progress the stream counts the same batch again
+        stream = streams.stream_events(spark, source)
+        streams.stream_hour_counts(stream, store, str(tmp_path / progress)).awaitTermination()
     batch = ingest.ingest_hour_stats(t.bronze(spark, SF), projects)
-    last = batch.agg(F.max(F.struct("date", "hour"))).first()[0]
-    closed = batch.filter(F.struct("date", "hour") < F.struct(F.lit(last.date), F.lit(last.hour)))
-    assert rows(got, *batch.columns) == rows(closed)
+    assert rows(streams.stored_hour_stats(spark, store, projects), *batch.columns) == rows(batch)

@@ -8,7 +8,7 @@ from depsignal.checks.prelude import n
 from depsignal.checks.registry import check
 from depsignal.functions import names
 from depsignal.operators import ingest, metrics, silver
-from depsignal.plans import ingestion
+from depsignal.plans import backfill, ingestion
 from depsignal.session import scratch_path
 from depsignal.sources import documents, events, tables
 from depsignal.streaming import events as streams
@@ -391,6 +391,49 @@ def agg17(spark, sf):
     return ingest.ingest_hour_stats(t.bronze(spark, sf), t.curated(spark, sf))
 
 
+_FIRST_DAYS = "DATE '2024-01-15'"
+
+
+@check(
+    "ing3_backfill_hours",
+    _SPINE
+    + f""", h AS ({_HOURS}),
+    j AS (SELECT s.date, s.hour, h.events_downloaded, h.events_filtered, h.projects_with_events,
+      s.date <= {_FIRST_DAYS} AND h.date IS NOT NULL AS skipped
+      FROM spine s LEFT JOIN h ON h.date = s.date AND h.hour = s.hour)
+    SELECT date, hour,
+      CASE WHEN skipped THEN 0 ELSE coalesce(events_downloaded, 0) END AS events_downloaded,
+      CASE WHEN skipped THEN 0 ELSE coalesce(events_filtered, 0) END AS events_filtered,
+      CASE WHEN skipped THEN 0 ELSE coalesce(projects_with_events, 0) END AS projects_with_events, skipped,
+      CASE WHEN NOT skipped AND events_downloaded IS NULL THEN 'no events landed' END AS error FROM j""",
+)
+def ing3(spark, sf):
+    target, markers = scratch_path(spark, "raw"), scratch_path(spark, "markers")
+    landed, day = t.bronze(spark, sf).drop("value"), F.to_date("ts")
+    ends = t.table(spark, sf, "events").agg(F.min(day).alias("start"), F.max(day).alias("end"))
+    first = ends.select("start", F.lit("2024-01-15").cast("date").alias("end"))
+    layout = ("date", "hour")
+    backfill.backfill(spark, first, landed, t.curated(spark, sf), target, markers, layout)
+    return backfill.backfill(spark, ends, landed, t.curated(spark, sf), target, markers, layout)
+
+
+@check(
+    "ing4_silver_counters",
+    f"""+ u AS (SELECT count(*) AS raw, count(*) FILTER (value < 2) AS corrupt FROM bronze),
+    k AS (SELECT count(*) AS sent FROM bronze WHERE value >= 2 AND type <> 'CreateEvent'),
+    d AS (SELECT count(DISTINCT sha256(concat_ws('|', type, actor_login, repo_full_name, created_text))) AS inserted
+      FROM bronze WHERE value >= 2 AND type <> 'CreateEvent')
+    SELECT 1 AS run, raw, corrupt, raw - corrupt AS kept, sent, inserted, sent - inserted AS duplicate FROM u, k, d
+    UNION ALL SELECT 2, raw, corrupt, raw - corrupt, sent, 0, sent FROM u, k, d""",
+)
+def ing4(spark, sf):
+    path, target = _cut_lines(spark, sf), scratch_path(spark, "silver")
+    ingestion.start_silver(t.first_delivery(spark, sf), target)
+    counts = [ingestion.load_silver_counted(spark, path, target) for _ in range(2)]
+    rows = [{"run": k, **c} for k, c in enumerate(counts, 1)]
+    return spark.createDataFrame(rows, "run INT, raw BIGINT, corrupt BIGINT, kept BIGINT, sent BIGINT, inserted BIGINT, duplicate BIGINT")
+
+
 @check(
     "agg18_backfill_summary",
     f"""+ hours AS (SELECT *, projects_with_events = 0 AS skipped,

@@ -160,6 +160,18 @@ def txt9(spark, sf):
     return t.resolved(spark, sf).select(*_STATUS)
 
 
+@check(
+    "txt9_cache_write_back",
+    """SELECT ecosystem, name, split_part(full_name, '/', 1) AS org,
+      substr(full_name, strpos(full_name, '/') + 1) AS repo, confidence FROM resolved""",
+)
+def txt9_cache(spark, sf):
+    cache = t.cache(spark, sf)
+    first = resolution.updated_cache(cache, t.resolved(spark, sf))
+    again = resolution.updated_cache(first, t.resolved(spark, sf))
+    return again.join(t.packages(spark, sf), ["ecosystem", "name"], "left_semi").drop("source")
+
+
 @check(
     "agg22_resolution_summary",
     f"""+ c AS (SELECT {n("sum(occurrences)")} AS parsed,

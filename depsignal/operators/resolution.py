@@ -205,6 +205,26 @@ def classify_dependencies(
     return each.unionByName(outcome("resolved", "added").withColumn("health_score", none))
 
 
+def updated_cache(cache: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The cache with an entry for each package resolved just now; one not found gets a negative entry.
+
+    Entries that are there already stay as they are.
+    """
+    fresh = (
+        resolved.join(cache.select("ecosystem", "name"), ["ecosystem", "name"], "left_anti")
+        .select(
+            "ecosystem",
+            "name",
+            F.substring_index("full_name", "/", 1).alias("org"),
+            F.when(F.col("full_name").isNotNull(), F.expr("substring(full_name, instr(full_name, '/') + 1)")).alias("repo"),
+            "source",
+            "confidence",
+        )
+        .distinct()
+    )
+    return cache.select(fresh.columns).unionByName(fresh)
+
+
 def resolution_summary(resolved: DataFrame) -> DataFrame:
     """Counts of dependencies by outcome and the share of new repositories."""
 

@@ -8,6 +8,9 @@ from depsignal.checks.registry import check
 from depsignal.functions import scores
 from depsignal.operators import metrics, scorecard, scoring
 from depsignal.operators.portfolio import coverage_join
+from depsignal.plans import gold
+from depsignal.session import scratch_path
+from depsignal.sources import events
 from depsignal.sources.tables import materialize_once
 
 
@@ -92,9 +95,9 @@ def jon3(spark, sf):
     return metrics.with_top_n(totals, metrics.top_n_sum(actors, 3))
 
 
-@check("jon2_project_health", "SELECT * FROM health")
+@check("jon2_project_health", f"SELECT *, '{t.COMPUTED_AT}' AS computed_at FROM health")
 def jon2(spark, sf):
-    return t.health(spark, sf)
+    return t.health(spark, sf).withColumn("computed_at", F.date_format("computed_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 _SCORES = """SELECT *, CAST(NULL AS DOUBLE) AS health_trend, CAST(NULL AS DOUBLE) AS prev_health_score
@@ -106,6 +109,19 @@ def sco7(spark, sf):
     return t.scored(spark, sf).drop("computed_at")
 
 
+@check("sco7_incremental", _SCORES)
+def sco7_incremental(spark, sf):
+    store, silver = scratch_path(spark, "daily"), t.silver_events(spark, sf)
+    at = F.lit(t.COMPUTED_AT).cast("timestamp")
+    day = F.dayofmonth("event_date")
+    # odd days come first; then even days, and a part of the odd ones that was late
+    early = silver.filter((day % 2 == 1) & (F.hour("created_at") < 15))
+    late_days = events.days_of(silver.filter((day % 2 == 0) | (F.hour("created_at") >= 15)))
+    gold.refresh_daily(early, store, events.days_of(early))
+    gold.refresh_daily(silver, store, late_days)
+    return gold.scores_from_daily(spark, store, t.cards(spark, sf), at).drop("computed_at")
+
+
 @check(
     "jon4_coverage_join",
     """SELECT repo_full_name, commits_per_week, contributor_count, bus_factor_risk, commit_score,

@@ -161,12 +161,12 @@ def cards(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def health(spark: SparkSession, sf: str, stage=materialize_once) -> DataFrame:
-    return metrics.project_health(staged(spark, sf), cards(spark, sf), stage=stage)
+    at = F.lit(COMPUTED_AT).cast("timestamp")
+    return metrics.project_health(staged(spark, sf), cards(spark, sf), stage=stage, computed_at=at)
 
 
 def scored(spark: SparkSession, sf: str, stage=materialize_once) -> DataFrame:
-    at = F.lit(COMPUTED_AT).cast("timestamp")
-    return scoring.health_scores(health(spark, sf, stage), computed_at=at)
+    return scoring.health_scores(health(spark, sf, stage))
 
 
 SNAPSHOT = ("snapshot_date", "repo_full_name")

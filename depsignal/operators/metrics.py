@@ -171,9 +171,12 @@ def daily_activity(events: DataFrame, by: Sequence[str] = REPO) -> DataFrame:
 
 
 def health_from_daily(
-    daily: DataFrame, scorecard: DataFrame, by: Sequence[str] = REPO
+    daily: DataFrame,
+    scorecard: DataFrame,
+    by: Sequence[str] = REPO,
+    computed_at: Column | None = None,
 ) -> DataFrame:
-    """The wide health table from the daily roll-up.
+    """The wide health table from the daily roll-up, with the time of its computation.
 
     Two branches read the roll-up: one per day, for counts and distinct days,
     one per actor, for contributors and the top three. Counts default to 0,
@@ -232,12 +235,17 @@ def health_from_daily(
             "vuln_count",
             "vuln_data_available",
             "has_dep_update_tool",
+            (F.current_timestamp() if computed_at is None else computed_at).alias("computed_at"),
         )
     )
 
 
 def project_health(
-    events: DataFrame, scorecard: DataFrame, by: Sequence[str] = REPO, stage=None
+    events: DataFrame,
+    scorecard: DataFrame,
+    by: Sequence[str] = REPO,
+    stage=None,
+    computed_at: Column | None = None,
 ) -> DataFrame:
     """One wide row per repository with any event.
 
@@ -245,7 +253,7 @@ def project_health(
     both branches derive it again, which is right for small inputs only.
     """
     daily = daily_activity(events, by)
-    return health_from_daily(stage(daily) if stage else daily, scorecard, by)
+    return health_from_daily(stage(daily) if stage else daily, scorecard, by, computed_at)
 
 
 def event_type_counts(bronze: DataFrame, column: str = "type") -> DataFrame:

@@ -12,7 +12,12 @@ from depsignal.operators.metrics import REPO
 def health_scores(
     health: DataFrame, by: Sequence[str] = REPO, computed_at: Column | None = None
 ) -> DataFrame:
-    """Signal scores and the weighted composite, one row per health row."""
+    """Signal scores and the weighted composite, one row per health row.
+
+    Unless told otherwise the scores carry the health row's own time.
+    """
+    if computed_at is None:
+        computed_at = F.col("computed_at") if "computed_at" in health.columns else F.current_timestamp()
     signals = health.select(
         *by,
         "org_name",
@@ -31,6 +36,7 @@ def health_scores(
         ),
         F.round(F.coalesce("security_score", F.lit(scores.NEUTRAL)), 2).alias("security_score"),
         F.coalesce("vuln_data_available", F.lit(False)).alias("vuln_data_available"),
+        computed_at.alias("computed_at"),
     )
     return signals.select(
         *by,
@@ -51,7 +57,7 @@ def health_scores(
         "security_score",
         "vuln_data_available",
         "has_push_data",
-        (F.current_timestamp() if computed_at is None else computed_at).alias("computed_at"),
+        "computed_at",
     )
 
 

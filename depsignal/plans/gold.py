@@ -1,6 +1,7 @@
 """Silver to gold: the chain of models behind the score table."""
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from depsignal.operators.metrics import (
     commit_activity,
@@ -24,8 +25,39 @@ def score_table(
 
     The daily roll-up is stored, because two branches need it.
     """
-    health = project_health(dedup_latest(silver), card, stage=stage)
-    return health_scores(health, computed_at=computed_at)
+    health = project_health(dedup_latest(silver), card, stage=stage, computed_at=computed_at)
+    return health_scores(health)
+
+
+DAILY = """repo_full_name STRING, org_name STRING, repo_name STRING, actor_login STRING, pushes BIGINT,
+    commits BIGINT, issues_opened BIGINT, issues_closed BIGINT, prs_opened BIGINT, prs_closed BIGINT, event_date DATE"""
+
+
+def refresh_daily(silver: DataFrame, store: str, days: list) -> None:
+    """Recompute the roll-up of the given days in the stored table at ``store``; other days stay.
+
+    Copies of an event share its date, so a day can be deduplicated by itself
+    and only the touched directories of silver are read.
+    """
+    if not days:
+        return
+    touched = silver.filter(F.col("event_date").isin(days))
+    (
+        daily_activity(dedup_latest(touched))
+        .hint("rebalance", "event_date")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("event_date")
+        .parquet(store)
+    )
+
+
+def scores_from_daily(
+    spark: SparkSession, store: str, card: DataFrame, computed_at: Column | None = None
+) -> DataFrame:
+    """Scores from the stored roll-up, without a look at the events."""
+    daily = spark.read.schema(DAILY).parquet(store)
+    return health_scores(health_from_daily(daily, card, computed_at=computed_at))
 
 
 def build_gold(

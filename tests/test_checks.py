@@ -5,8 +5,10 @@ import pytest
 import __spark_entry__ as entry
 from compare import connect, difference
 
+from depsignal.checks import catalog
+
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 
 @pytest.fixture(scope="module")

@@ -145,7 +145,7 @@ def test_onboarding(spark, rows):
     cache, registry = tables(spark)
     registry = registry.drop("search_hit")
     texts = [(f"m{i:02d}/requirements.txt", "two==1\nhome\nlost\n") for i in range(30)]
-    texts = [(n.replace("/requirements", "-r"), c) for n, c in texts] + [("z.txt", "two\nNumPy\n")]
+    texts = [(n.replace("/requirements", "-r"), c) for n, c in texts] + [("z.txt", "two\nNumPy\n"), ("setup.cfg", "[x]")]
     files = spark.createDataFrame(texts, "file_name string, content string")
     watch = spark.createDataFrame([("o", "page"), ("numpy", "numpy")], "org string, repo string")
     scores = spark.createDataFrame([("o/page", 6.5)], "repo_full_name string, health_score double")
@@ -157,6 +157,7 @@ def test_onboarding(spark, rows):
             ("ready", "NumPy", "numpy/numpy", None, None, 1),
             ("added", "two", "o/home", "high", None, 1),
             ("unresolved", "lost", None, None, None, 30),
+            ("unsupported", "setup.cfg", None, None, None, 1),
         ],
         key=repr,
     )

@@ -82,7 +82,7 @@ def test_contributor_diversity(events):
 
 def test_fused_health_equals_joined_metrics(events, card, rows):
     """The one-pass roll-up gives what six separately grouped views give."""
-    fused = metrics.project_health(events, card)
+    fused = metrics.project_health(events, card).drop("computed_at")
     joined = metrics.repo_span(events)
     for view, columns in (
         (metrics.commit_activity(events), ["push_event_count", "total_commits", "active_committers", "active_days", "commits_per_week"]),
@@ -101,10 +101,10 @@ def test_fused_health_equals_joined_metrics(events, card, rows):
 
 def test_health_by_snapshot_equals_health_per_slice(events, card, rows):
     keyed = events.withColumn("snapshot_date", F.col("event_date"))
-    every = metrics.project_health(keyed, card, by=("snapshot_date", "repo_full_name"))
+    every = metrics.project_health(keyed, card, by=("snapshot_date", "repo_full_name")).drop("computed_at")
     for n in range(3):
         day = DAY + datetime.timedelta(days=n)
-        one = metrics.project_health(events.filter(F.col("event_date") == day), card)
+        one = metrics.project_health(events.filter(F.col("event_date") == day), card).drop("computed_at")
         part = every.filter(F.col("snapshot_date") == day)
         assert rows(part, *one.columns) == rows(one)
 

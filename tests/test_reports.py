@@ -114,7 +114,7 @@ def test_files(spark, tmp_path, rendered):
     plain.write_text("## Monitor\n### o/new\n", encoding="utf-8")
     (tmp_path / "out" / "notes.md").write_text("x", encoding="utf-8")
     stored = documents.read_reports(spark, path)
-    assert [r.file_name for r in stored.collect()] == [plain.name, "risk_report_2026-04-14T18-07-32.md"]
+    assert sorted((r.file_name for r in stored.collect()), reverse=True) == [plain.name, "risk_report_2026-04-14T18-07-32.md"]
     assert reports.parse_reports(stored).count() == 16
     assert [r.file_name for r in documents.read_reports(spark, path, latest_only=True).collect()] == [plain.name]
 
@@ -154,9 +154,11 @@ def test_assess_and_index(spark):
         [("o/a", 3.0, None), ("o/b", 5.5, None), ("o/c", 9.0, None)],
         "repo_full_name string, health_score double, health_trend double",
     )
-    texts = spark.createDataFrame([("o/a", "A"), ("o/b", " "), ("o/c", "C")], "repo_full_name string, assessment string")
+    texts = spark.createDataFrame([("o/a", "A"), ("o/b", " "), ("o/c", "C"), ("o/new", "N")], "repo_full_name string, assessment string")
     got = {r.repo_full_name: r for r in index_records(assess(scored, texts, RUN)).collect()}
-    assert set(got) == {"o/a", "o/b"}
+    # a good score is not flagged; a text without a score is reported all the same
+    assert set(got) == {"o/a", "o/b", "o/new"}
+    assert (got["o/new"].recommendation, got["o/new"].risk_score) == ("MONITOR", 0.5)
     assert got["o/b"].assessment_text.startswith("o/b — health score 5.5/10, recommendation: MONITOR")
     assert len(got["o/a"].vec_id) == 40
 

@@ -94,7 +94,7 @@ def test_dedup_takes_newest_and_limits_before_the_shuffle(spark, rows):
     df = spark.createDataFrame(
         [("k", 1, "a", 1), ("k", 3, "b", None), ("k", 3, "c", 1), ("k", None, "z", 9), ("l", 1, None, 0)],
         "event_id string, ingested_at int, payload_action string, payload_commits int",
-    )
+    ).withColumns({"actor_id": F.lit(7), "repo_id": F.lit(8)})
     got = silver.dedup_latest(df)
     assert rows(got, "event_id", "payload_action") == [("k", "c"), ("l", None)]
     plan = got._jdf.queryExecution().executedPlan().toString()
@@ -105,7 +105,7 @@ def test_type_filter_before_dedup_is_equivalent(spark, rows):
     df = spark.createDataFrame(
         [("p1", "PushEvent", 1), ("p1", "PushEvent", 2), ("i1", "IssuesEvent", 1)],
         "event_id string, event_type string, ingested_at int",
-    ).withColumns({"payload_action": F.lit(None), "payload_commits": F.lit(None)})
+    ).withColumns({c: F.lit(None) for c in silver.TIES})
     early = silver.staged_events(df, ["PushEvent"])
     late = silver.staged_events(df).filter("event_type = 'PushEvent'")
     assert rows(early) == rows(late)

@@ -25,7 +25,7 @@ def test_hot_event_and_hot_repository(spark):
     best = {}
     for r in rows:
         best[r[0]] = max(best.get(r[0], (-1, -1)), (r[8], r[7]))
-    unique = silver.dedup_latest(df)
+    unique = silver.dedup_latest(df.withColumns({"actor_id": F.lit(1), "repo_id": F.lit(1)}))
     assert {r.event_id: (r.ingested_at, r.payload_commits) for r in unique.collect()} == best
 
     per_actor = defaultdict(Counter)

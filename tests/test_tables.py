@@ -2,9 +2,10 @@ from types import SimpleNamespace
 
 import pytest
 from depsignal import schemas
+from depsignal.operators import quality
 from depsignal.plans.gold import build_gold, score_table
 from depsignal.session import scratch_path
-from depsignal.sources import tables
+from depsignal.sources import events, tables
 from pyspark.sql import functions as F
 
 from depsignal.checks import tables as t
@@ -81,3 +82,41 @@ def test_models(spark, tmp_path, rows):
 
 def test_stored_and_derived_rollups_agree(spark, rows):
     assert rows(t.health(spark, SF)) == rows(t.health(spark, SF, stage=None))
+
+
+def test_upsert_table_breaks_ties_and_can_be_repeated(spark, rows):
+    spark.sql("DROP TABLE IF EXISTS t_upsert")
+    old = spark.createDataFrame([(1, 0, "a"), (2, 0, "b")], "id int, version int, label string")
+    tables.upsert_table(spark, "t_upsert", old, "id", "version")
+    new = spark.createDataFrame([(2, 1, "x"), (2, 1, "y"), (3, None, "z")], "id int, version int, label string")
+    for _ in range(2):
+        got = tables.upsert_table(spark, "t_upsert", new, "id", "version", ("label",))
+    assert rows(got) == [(1, 0, "a"), (2, 1, "y"), (3, None, "z")]
+    spark.sql("DROP TABLE t_upsert")
+
+
+def test_merge_reads_the_days_of_the_batch_only(spark, tmp_path):
+    path = str(tmp_path / "silver")
+    stored = t.first_delivery(spark, SF)
+    events.append_silver(stored, path)
+    far = stored.filter("event_date IN (DATE'2024-01-02', DATE'2024-01-27')")
+    target = spark.read.schema(schemas.SILVER).parquet(path)
+    merged = events.merge_insert_only(target, far, days=events.days_of(far))
+    assert merged.count() == 0
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "event_date" in plan.split("PartitionFilters")[1]
+
+
+def test_unique_ignores_nulls(spark, rows):
+    df = spark.createDataFrame([(None,), (None,), (1,), (2,), (2,)], "k int")
+    assert rows(quality.check_unique(df, "k")) == [(2, 2)]
+
+
+def test_recreated_table_is_empty(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for _ in range(2):
+        table = events.create_silver(spark, "t_again", path, recreate=True)
+        assert table.count() == 0
+        t.first_delivery(spark, SF).select(table.columns).write.insertInto("t_again")
+    assert spark.table("t_again").count() == t.first_delivery(spark, SF).count()
+    spark.sql("DROP TABLE t_again")

@@ -10,10 +10,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SHINGLE_WORDS = 5
 #: Text bytes that are turned into arrays at once; a longer text is taken whole.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C55
 _RANDOM = np.random.Generator(np.random.PCG64(20240611))
@@ -76,7 +77,10 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(column: pa.Array) -> Iterator[tuple[int, int]]:
     """Row ranges of at most SLICE_BYTES of text, or of one text."""
-    _, offsets = column_bytes(column)
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     at = 0
     while at < len(column):
         to = int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1

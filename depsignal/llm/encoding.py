@@ -1,15 +1,15 @@
 """Encoding with the tokenizers library, once for each distinct piece of text."""
 
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
 #: Distinct pieces that a Python worker keeps, and the longest kept piece.
-CACHED_PIECES = 400_000
+CACHED_PIECES = 800_000
 CACHED_CHARS = 64
-#: Pieces that are handed to the library as one text.
-JOINED_PIECES = 256
+#: Pieces that are handed to the library as one text, and such texts in one call: its results take much memory.
+JOINED_PIECES, JOINED_TEXTS = 256, 16
 
 
 class PieceEncoder:
@@ -30,6 +30,8 @@ class PieceEncoder:
     ):
         self.encode_batch, self.split, self.lead, self.id_bytes = encode_batch, split, lead, id_bytes
         self.inner: dict[str, bytes] = {}
+        #: known pieces that came again; these outlast the next clearing
+        self.again: set[str] = set()
 
     def _encode_inner(self, pieces: list[str]) -> None:
         """Learn pieces that follow another one."""
@@ -39,9 +41,7 @@ class PieceEncoder:
         closed = [p for p in pieces if not p.endswith(lead)]
         groups = [closed[k : k + JOINED_PIECES] for k in range(0, len(closed), JOINED_PIECES)]
         groups += [[p] for p in open_ended]
-        texts = [lead + lead.join(g) for g in groups]
-        for group, ids in zip(groups, self.encode_batch(texts), strict=True):
-            ids = np.array(ids, "<u4")
+        for group, ids in self._joined(groups):
             ends = np.cumsum([len(p.encode()) for p in group]) + len(lead.encode()) * np.arange(1, len(group) + 1)
             cuts = np.searchsorted(np.cumsum(self.id_bytes[ids]), ends) + 1
             raw, at = ids.tobytes(), 0
@@ -49,16 +49,25 @@ class PieceEncoder:
                 known[piece] = raw[4 * at : 4 * cut]
                 at = cut
 
+    def _joined(self, groups: list[list[str]]) -> Iterator[tuple[list[str], np.ndarray]]:
+        for at in range(0, len(groups), JOINED_TEXTS):
+            some = groups[at : at + JOINED_TEXTS]
+            found = self.encode_batch([self.lead + self.lead.join(g) for g in some])
+            yield from ((group, np.array(ids, "<u4")) for group, ids in zip(some, found, strict=True))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit integers."""
         pieces = [self.split(text) for text in texts]
         heads = [array("I", ids).tobytes() for ids in self.encode_batch([p[0] for p in pieces])]
         if len(self.inner) > CACHED_PIECES:
-            self.inner.clear()
+            self.inner = {p: self.inner[p] for p in self.again if p in self.inner} if len(self.again) < CACHED_PIECES else {}
+            self.again = set()
         known = self.inner
         for p in pieces:
             p[0] = ""
-        missing = list(set().union(*pieces) - known.keys() - {""})
+        found = set().union(*pieces)
+        self.again |= found & known.keys()
+        missing = list(found - known.keys() - {""})
         self._encode_inner(missing)
         known[""] = b""
         out = [np.frombuffer(head + b"".join(map(known.__getitem__, p)), "<u4") for head, p in zip(heads, pieces, strict=True)]

@@ -20,6 +20,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, name)
 
 
+def width(spark: SparkSession) -> int:
+    """Number of tasks for work that is far larger than the rows that name it."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a URI; a plain path is a local one."""
     return fs.FileSystem.from_uri(uri) if ":/" in uri else (fs.LocalFileSystem(), uri)

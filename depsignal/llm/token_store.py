@@ -19,6 +19,7 @@ document id sorts first and is kept as null; repeated rows are stored each.
 from __future__ import annotations
 
 import json
+import os
 import struct
 import uuid
 import zlib
@@ -37,7 +38,7 @@ from depsignal.llm.textarrays import slices
 MAGIC, VERSION = b"TOKB", 1
 BLOCK_IDS = 4096
 #: Ids after which a task begins another shard.
-SHARD_IDS = 8 << 20
+SHARD_IDS = 4 << 20
 
 _HEAD = struct.Struct("<4sIIIQQQ")
 SHARD = "part int, shard int, uri string, n_docs long, n_ids long"
@@ -157,6 +158,7 @@ def byte_level_encoder(path: str) -> tuple[PieceEncoder, int]:
     Strings of special tokens in a text are ordinary text. Texts are cut at
     words if the file is plain byte-level BPE, otherwise taken whole.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -230,6 +232,11 @@ def placed(shards: DataFrame) -> DataFrame:
     return shards.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
+def _spread(shards: DataFrame) -> DataFrame:
+    """Shards over tasks. The number is given, since by the size of this list one task would read them all."""
+    return placed(shards).select("uri", "base").repartition(storage.width(shards.sparkSession), "uri")
+
+
 def read_digests(shards: DataFrame) -> DataFrame:
     """Per stored document: doc_id, start, n_tokens and the crc32 of its ids as little-endian 32-bit integers."""
 
@@ -249,8 +256,7 @@ def read_digests(shards: DataFrame) -> DataFrame:
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    spread = placed(shards).select("uri", "base").repartition("uri")
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _spread(shards).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_tokens(shards: DataFrame) -> DataFrame:
@@ -270,4 +276,4 @@ def read_tokens(shards: DataFrame) -> DataFrame:
                         names=["doc_id", "start", "ids"],
                     )
 
-    return placed(shards).select("uri", "base").repartition("uri").mapInArrow(read, STORED)
+    return _spread(shards).mapInArrow(read, STORED)

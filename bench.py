@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR   table folder (default /root/testdata/sf0.1)
 BENCH_CPUS     local cores (default 8)
-BENCH_RUNS     timed runs per query after one warm-up (default 1); the median counts
+BENCH_RUNS     timed runs per query after one warm-up (default 3); the median counts
 """
 
 import json
@@ -47,7 +47,7 @@ def timed(query, spark, sf_dir):
 
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "bench")
     seconds = {}
     for name in HEADLINE:

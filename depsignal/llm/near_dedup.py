@@ -10,11 +10,10 @@ shingles is 0.75 or more. The steps:
 3. A pair's similarity is estimated from its registers by maximum likelihood,
    given the known set sizes; pairs that may reach the threshold are confirmed
    on the full sets. Confirmed links give provisional components.
-4. In a bucket whose other members still lie in different components, each is
-   paired with the LEADERS smallest of them, across components. A document with a
-   link into a large group has it with one of these almost surely.
-5. What still lies in different components is compared in blocks inside
-   tasks; only pairs that pass the estimate come out, and are confirmed as well.
+4. In a bucket whose other members still lie in different components these are
+   compared across components, in blocks inside tasks: first by the registers,
+   which leaves the members that may have a link, then on their full sets.
+   Pairs never become rows; a group gives at most one link for each join.
 
 A pair of similarity 0.75 shares no band of 50 with probability 1e-6, and is
 refused by the estimate with one of 1e-6; a pair of 0.8 with 3e-9 and less.
@@ -31,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depsignal.llm.components import components
@@ -42,10 +41,8 @@ BANDS, ROWS = 50, 5
 REGISTERS = BANDS * ROWS
 #: SetSketch parameters: base, rate and largest register value.
 BASE, RATE, TOP = 1.001, 20.0, 65534
-#: Members of a bucket that are compared with each other at once.
-BLOCK = 1024
-#: Smallest members that the others of a bucket are paired with in the second round.
-LEADERS = 16
+#: Members of a block; two blocks are compared at once.
+BLOCK = 512
 #: An estimate this far below the threshold, in standard deviations, rules a pair out.
 DEVIATIONS = 5.0
 
@@ -205,43 +202,108 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
     return both.mapInArrow(run, "a long, b long")
 
 
-def _compared(members: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs within a bucket, across components, that may reach the threshold.
+def _dealt(members: DataFrame, payload: DataFrame) -> DataFrame:
+    """Members (bucket, node, component) with their payload, dealt to groups (bucket, low, high) of bounded size.
 
-    ``members`` has (bucket, node, component, blocks): a bucket of more than
-    BLOCK members is cut into blocks, and each pair of blocks is one group.
+    Members of the bucket's largest component are not compared with each
+    other. The rest, and the largest component, are cut into blocks; a group
+    is a block of the rest with itself, with another one or with one of the
+    largest component. So a few outsiders of a large group cost as many copies of
+    themselves as that group has blocks, and the group's members one each.
     """
-    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    dealt = (
-        members.withColumn("own", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .withColumn("low", F.least("own", "other"))
-        .withColumn("high", F.greatest("own", "other"))
-        .join(nodes.select("node", "registers", "n_shingles"), "node")
-        .select("bucket", "low", "high", "own", "node", "component", "n_shingles", "registers")
+    parts = members.groupBy("bucket", "component").count()
+    whole = parts.groupBy("bucket").agg(
+        F.max(F.struct("count", "component")).alias("largest"), F.sum("count").alias("size")
     )
+    blocks = whole.select(
+        "bucket",
+        F.col("largest.component").alias("largest"),
+        F.ceil(F.col("largest.count") / BLOCK).cast("long").alias("of_largest"),
+        F.ceil((F.col("size") - F.col("largest.count")) / BLOCK).cast("long").alias("of_rest"),
+    ).filter("of_rest > 0")
+    inside, rest, number = F.col("component") == F.col("largest"), F.col("of_rest"), F.xxhash64("node")
+    own = F.when(inside, rest + F.pmod(number, F.col("of_largest"))).otherwise(F.pmod(number, rest))
+    others = F.when(inside, rest).otherwise(rest + F.col("of_largest"))
+    return (
+        members.join(blocks, "bucket")
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), others - 1)))
+        .select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "component")
+        .join(payload, "node")
+    )
+
+
+def _group(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, components, and which pairs of rows are to be compared in this group."""
+    own, node, part = (group[c].to_numpy() for c in ("own", "node", "component"))
+    low, high = group["low"][0].as_py(), group["high"][0].as_py()
+    pairs = (own == low)[:, None] & (own == high)[None, :] & (part[:, None] != part[None, :])
+    return node, part, np.triu(pairs) if low == high else pairs
+
+
+def _hopeful(members: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """The members that may reach the threshold with a member of another component of their bucket."""
+    dealt = _dealt(members, nodes.select("node", "registers", "n_shingles"))
+    least = (threshold - DEVIATIONS * np.sqrt(threshold * (1 - threshold) / REGISTERS)) * REGISTERS
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        own, node, part, size = (group[c].to_numpy() for c in ("own", "node", "component", "n_shingles"))
-        regs = _rows(group["registers"])
-        low, high = group["low"][0].as_py(), group["high"][0].as_py()
-        lefts, rights = [], []
-        for i in range(len(node)):
-            if own[i] != low:
-                continue
-            other = (own == high) & (part != part[i])
-            if low == high:
-                other[: i + 1] = False
-            at = np.flatnonzero(other)
+        node, _, pairs = _group(group)
+        regs, size = _rows(group["registers"]), group["n_shingles"].to_numpy()
+        hopeful = np.zeros(len(node), bool)
+        for i in np.flatnonzero(pairs.any(1)).tolist():
+            at = np.flatnonzero(pairs[i] if not hopeful[i] else pairs[i] & ~hopeful)
+            # registers agree no less often than the sets do
+            at = at[(regs[at] == regs[i]).sum(1) >= least]
             if len(at):
-                found = at[_may_reach(threshold, np.broadcast_to(regs[i], (len(at), REGISTERS)), regs[at], np.broadcast_to(size[i], len(at)), size[at])]
-                lefts.append(np.minimum(node[i], node[found]))
-                rights.append(np.maximum(node[i], node[found]))
-        empty = [np.zeros(0, np.int64)]
-        return pa.table({"a": np.concatenate(lefts or empty), "b": np.concatenate(rights or empty)})
+                at = at[_may_reach(threshold, np.broadcast_to(regs[i], (len(at), REGISTERS)), regs[at], np.broadcast_to(size[i], len(at)), size[at])]
+                hopeful[at] = True
+                hopeful[i] |= len(at) > 0
+        bucket = group["bucket"].to_numpy()
+        return pa.table({"bucket": bucket[hopeful], "node": node[hopeful]})
+
+    return dealt.groupBy("bucket", "low", "high").applyInArrow(run, "bucket long, node long").distinct()
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two sets share: products of their incidence, some thousand values at a time."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    twice = count[place] > 1
+    owner, place = owner[twice], (np.cumsum(count > 1) - 1)[place[twice]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    step = 4096
+    for low in range(0, int(place[-1]) + 1 if len(place) else 0, step):
+        a, b = np.searchsorted(place, [low, low + step])
+        seen = np.zeros((len(sets), step), np.float32)
+        seen[owner[a:b], place[a:b] - low] = 1
+        total += seen @ seen.T
+    return total
+
+
+def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components, confirmed on the full sets: as many of each group as join what its links join."""
 
-    return dealt.groupBy("bucket", "low", "high").applyInArrow(run, "a long, b long").distinct()
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        node, part, pairs = _group(group)
+        values = [np.asarray(v, np.int64) for v in group["shingles"].to_pylist()]
+        size = np.array([len(v) for v in values])
+        common = _common(values)
+        links = pairs & (common * 100 >= (size[:, None] + size[None, :] - common) * percent)
+        label, a, b = np.unique(part, return_inverse=True)[1], [], []
+        for i in np.flatnonzero(links.any(1)).tolist():
+            at = np.flatnonzero(links[i] & (label != label[i]))
+            for other in np.unique(label[at], return_index=True)[1].tolist():
+                j = at[other]
+                a.append(min(node[i], node[j]))
+                b.append(max(node[i], node[j]))
+                label[label == label[j]] = label[i]
+        return pa.table({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return _dealt(members, sets).groupBy("bucket", "low", "high").applyInArrow(run, "a long, b long").distinct()
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -261,11 +323,16 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> Da
     return made.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
+def _sets_of(ends: DataFrame, docs: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(node, shingles) of the nodes in ``ends``, stored."""
+    wanted = nodes.select("node", "lead").join(ends, "node", "left_semi")
+    return written(_full_sets(docs, wanted, doc_id, text), "sets")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int, doc_id: str, text: str) -> DataFrame:
     """The pairs whose full sets reach the similarity."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.select("node", "lead").join(ends, "node", "left_semi")
-    sets = written(_full_sets(docs, wanted, doc_id, text), "sets")
+    sets = _sets_of(ends, docs, nodes, doc_id, text)
     side = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"set_{end}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
@@ -280,19 +347,6 @@ def _split_buckets(members: DataFrame, label: DataFrame) -> DataFrame:
     return placed.join(several.select("bucket"), "bucket", "left_semi")
 
 
-def _another_round(
-    pairs: DataFrame, tried: DataFrame, links: DataFrame, label: DataFrame, docs: DataFrame, nodes: DataFrame,
-    percent: int, doc_id: str, text: str, estimated: bool = False,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Confirm pairs not tried before: all pairs tried so far, all links and the components they give."""
-    fresh = pairs.join(tried, ["a", "b"], "left_anti")
-    fresh = written(fresh if estimated else _estimated(fresh, nodes, percent / 100), "pairs")
-    if fresh.isEmpty():
-        return tried, links, label
-    links = links.unionByName(_confirmed(fresh, docs, nodes, percent, doc_id, text))
-    return tried.unionByName(fresh), links, components(links)
-
-
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable by links, its own included) and kept."""
     threshold = percent / 100
@@ -312,17 +366,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     others = members.filter("node <> leader").select("bucket", "node")
     label = components(links)
-    split = _split_buckets(others, label)
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-    first = split.withColumn("rank", rank).filter(F.col("rank") <= LEADERS).select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"))
-    crossed = split.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb")).join(first, "bucket").filter("ca <> cb")
-    second = crossed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried, links, label = _another_round(second, likely, links, label, docs, nodes, percent, doc_id, text)
-
-    split = _split_buckets(others, label)
-    sizes = split.groupBy("bucket").count().select("bucket", F.ceil(F.col("count") / BLOCK).cast("long").alias("blocks"))
-    third = _compared(split.join(sizes, "bucket"), nodes, threshold)
-    _, links, final = _another_round(third, tried, links, label, docs, nodes, percent, doc_id, text, estimated=True)
+    split = written(_split_buckets(others, label), "split")
+    hopeful = written(_hopeful(split, nodes, threshold), "hopeful")
+    if hopeful.isEmpty():
+        final = label
+    else:
+        sets = _sets_of(hopeful.select("node").distinct(), docs, nodes, doc_id, text)
+        more = written(_linked(split.join(hopeful, ["bucket", "node"], "left_semi"), sets, percent), "links")
+        final = components(links.unionByName(more))
     smallest = nodes.join(final, "node").groupBy("root").agg(F.min("lead").alias("component_id"))
     groups = nodes.join(final, "node", "left").join(smallest, "root", "left").select("node", F.coalesce("component_id", "lead").alias("component_id"))
     found = all_rows.select("doc_id", "n_shingles", "node").join(groups, "node", "left")

@@ -1,6 +1,7 @@
 """Quality rules: counts of each text, and a hashed n-gram log-likelihood ratio.
 
-Two multinomials over hashed word unigrams and bigrams, in BUCKETS buckets,
+The target is learnt from at most TRUSTED_ROWS labelled documents, the raw
+corpus is counted whole. Two multinomials over hashed word unigrams and bigrams, in BUCKETS buckets,
 are counted: one of the trusted target, one of the raw corpus. A document's
 score is the mean over its n-grams of log(p_target / p_raw), in millionths. It
 is kept if it passes the base rules and its score is at or above ``threshold``.
@@ -30,6 +31,8 @@ BUCKETS = 1 << 16
 #: Weight of the raw distribution in the target, in n-grams for each bucket.
 PRIOR = 2
 THRESHOLD = -0.25
+#: Labelled documents that the target is learnt from, at most; those with the smallest hashes of their ids.
+TRUSTED_ROWS = 200_000
 MIN_WORDS = 20
 WINDOW = 8
 REPEAT_PERCENT = 30
@@ -149,6 +152,8 @@ def judge(docs: DataFrame, table: DataFrame, doc_id: str = "doc_id", text: str =
 def quality_rules(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Judge every document against the multinomial of the documents whose ids are in ``trusted``."""
     ids = trusted.select(F.col(doc_id).alias("_trusted_id")).filter("_trusted_id is not null").distinct()
+    # at most TRUSTED_ROWS ids, so that no text has to be shuffled to meet its label
+    ids = F.broadcast(ids.orderBy(F.xxhash64("_trusted_id"), "_trusted_id").limit(TRUSTED_ROWS))
     marked = docs.select(doc_id, text).join(ids, F.col(doc_id) == F.col("_trusted_id"), "left")
     # written once, since the totals and the ratios both need it
     table = ratios(written(bucket_counts(marked, text, F.col("_trusted_id").isNotNull()), "bucket-counts"))

@@ -263,7 +263,7 @@ def _entries(rows: list[tuple]) -> pa.RecordBatch:
 
 def read_records(entries: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records that index entries point to; each archive is read by one task in the order of its records."""
-    located = entries.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    located = entries.select("file", "offset", "length").repartition(storage.width(entries.sparkSession), "file").sortWithinPartitions("file", "offset")
     names = ["page_id", "url", "captured", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
 

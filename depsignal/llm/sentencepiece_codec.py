@@ -179,6 +179,9 @@ class Codec:
             MARK in piece.lstrip(MARK) for piece, _, kind in model.pieces if kind in (NORMAL, UNUSED)
         )
         sizes = np.array([1 if kind == BYTE else len(piece.encode()) for piece, _, kind in model.pieces])
+        self._piece_bytes = [
+            bytes([int(piece[1:-1], 16)]) if kind == BYTE else piece.replace(MARK, " ").encode() for piece, _, kind in model.pieces
+        ]
         self._split = self._words if by_word and model.byte_fallback else lambda text: [text]
         self._encoder = PieceEncoder(self._encode_batch, self._split, MARK, sizes)
 
@@ -214,7 +217,18 @@ class Codec:
         return self.encode_marked([self.marked(text) for text in texts])
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
-        return self.tokenizer.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
+        """Texts of ids: the bytes of all pieces in a row. Bytes that are no text are left to the library's decoder."""
+        out = []
+        for one in ids:
+            one = one.tolist()
+            try:
+                text = b"".join(map(self._piece_bytes.__getitem__, one)).decode()
+            except UnicodeDecodeError:
+                text = self.tokenizer.decode(one, skip_special_tokens=False)
+            else:
+                text = text[self.model.dummy_prefix and text.startswith(" ") :]
+            out.append(text)
+        return out
 
     def plain(self, marked: str) -> str:
         """What decoding must give back for a text as the model sees it."""

@@ -4,6 +4,9 @@ from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+
+from depsignal.llm.textarrays import column_bytes, span_hashes
 
 #: Distinct pieces that a Python worker keeps, and the longest kept piece.
 CACHED_PIECES = 800_000
@@ -33,9 +36,9 @@ class PieceEncoder:
         #: known pieces that came again; these outlast the next clearing
         self.again: set[str] = set()
 
-    def _encode_inner(self, pieces: list[str]) -> None:
-        """Learn pieces that follow another one."""
-        lead, known = self.lead, self.inner
+    def encode_inner(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces that follow another one, as bytes."""
+        lead, known = self.lead, {}
         # a piece that ends like the next one begins could grow together with it
         open_ended = [p for p in pieces if p.endswith(lead)]
         closed = [p for p in pieces if not p.endswith(lead)]
@@ -48,6 +51,7 @@ class PieceEncoder:
             for piece, cut in zip(group, cuts.tolist(), strict=True):
                 known[piece] = raw[4 * at : 4 * cut]
                 at = cut
+        return known
 
     def _joined(self, groups: list[list[str]]) -> Iterator[tuple[list[str], np.ndarray]]:
         for at in range(0, len(groups), JOINED_TEXTS):
@@ -68,10 +72,93 @@ class PieceEncoder:
         found = set().union(*pieces)
         self.again |= found & known.keys()
         missing = list(found - known.keys() - {""})
-        self._encode_inner(missing)
+        known |= self.encode_inner(missing)
         known[""] = b""
         out = [np.frombuffer(head + b"".join(map(known.__getitem__, p)), "<u4") for head, p in zip(heads, pieces, strict=True)]
         for piece in missing:
             if len(piece) > CACHED_CHARS:
                 del known[piece]
         return out
+
+
+class WordEncoder:
+    """The same over whole Arrow columns, for pieces that are cut at single blanks.
+
+    Pieces are told apart by 64-bit hashes of their bytes, so that a batch is
+    looked up, and its ids are put together, in array steps. Only pieces not
+    met before become strings. Texts that ``plain`` refuses, because blanks
+    stand side by side in them, go through a ``PieceEncoder``. ``mark`` makes of
+    a text, or of its first piece, what the model sees of it.
+    """
+
+    def __init__(self, other: PieceEncoder, plain: Callable[[str], bool], mark: Callable[[str], str] = str):
+        self.other, self.plain, self.mark = other, plain, mark
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes = np.zeros(0, np.uint64)
+        self.entry = np.zeros(0, np.int64)
+        self.begin, self.flat = np.zeros(1, np.int64), np.zeros(0, "<u4")
+
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes], first: np.ndarray) -> None:
+        """Encode pieces and keep their ids; the first of a text has no blank before it."""
+        texts = [p.decode() for p in pieces]
+        heads = np.flatnonzero(first).tolist()
+        found: list = [None] * len(texts)
+        for k, ids in zip(heads, self.other.encode_batch([self.mark(texts[k]) for k in heads]), strict=True):
+            found[k] = np.array(ids, "<u4")
+        rest = np.flatnonzero(~first).tolist()
+        known = self.other.encode_inner([texts[k] for k in rest if texts[k]])
+        for k in rest:
+            # an empty piece is the lone blank at the end of a text
+            found[k] = np.frombuffer(known[texts[k]], "<u4") if texts[k] else np.array(self.other.encode_batch([self.other.lead])[0], "<u4")
+        at = len(self.begin) - 1 + np.arange(len(found))
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(f) for f in found], dtype=np.int64)])
+        self.flat = np.concatenate([self.flat, *found])
+        every, place = np.concatenate([self.hashes, hashes]), np.concatenate([self.entry, at])
+        order = np.argsort(every, kind="stable")
+        self.hashes, self.entry = every[order], place[order]
+
+    def encode(self, column: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a column without nulls."""
+        texts = column.to_pylist()
+        plain = np.array([self.plain(t) for t in texts], bool)
+        out: list = [None] * len(texts)
+        odd = np.flatnonzero(~plain).tolist()
+        for k, ids in zip(odd, self.other.encode([self.mark(texts[k]) for k in odd]), strict=True):
+            out[k] = ids
+        even = np.flatnonzero(plain)
+        if len(even):
+            for k, ids in zip(even.tolist(), self._encode_plain(column.filter(pa.array(plain))), strict=True):
+                out[k] = ids
+        return out
+
+    def _encode_plain(self, column: pa.Array) -> list[np.ndarray]:
+        raw, offsets = column_bytes(column)
+        blank = np.flatnonzero(raw == 32)
+        # a piece begins each text and follows each blank; it ends at the next blank or the end of its text
+        text = np.concatenate([np.arange(len(column)), np.searchsorted(offsets, blank, "right") - 1])
+        starts = np.concatenate([offsets[:-1], blank + 1])
+        order = np.argsort(starts + text, kind="stable")  # an empty text begins where the next one does
+        text, starts = text[order], starts[order]
+        ends = np.append(starts[1:] - 1, len(raw))
+        last = np.append(text[1:] != text[:-1], True)
+        ends[last] = offsets[1:][text[last]]
+        first = np.append(True, text[1:] != text[:-1])
+        hashes = span_hashes(raw, starts, ends, first)
+        different, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.hashes) > CACHED_PIECES:
+            self._forget()
+        place = np.searchsorted(self.hashes, different)
+        known = place < len(self.hashes)
+        known[known] = self.hashes[place[known]] == different[known]
+        if not known.all():
+            new = at[~known]
+            data = raw.tobytes()
+            self._learn(different[~known], [data[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)], first[new])
+        entry = self.entry[np.searchsorted(self.hashes, different)][inverse]
+        begin, count = self.begin[entry], self.begin[entry + 1] - self.begin[entry]
+        total = np.concatenate([[0], np.cumsum(count)])
+        ids = self.flat[np.repeat(begin - total[:-1], count) + np.arange(total[-1])]
+        cuts = total[np.searchsorted(text, np.arange(len(column) + 1))]
+        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]

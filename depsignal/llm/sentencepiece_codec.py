@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depsignal.llm.encoding import PieceEncoder
+from depsignal.llm.encoding import PieceEncoder, WordEncoder
 from depsignal.llm.textarrays import slices
 
 #: The visible stand-in for a blank, a fixed value of the format.
@@ -183,7 +183,9 @@ class Codec:
             bytes([int(piece[1:-1], 16)]) if kind == BYTE else piece.replace(MARK, " ").encode() for piece, _, kind in model.pieces
         ]
         self._split = self._words if by_word and model.byte_fallback else lambda text: [text]
-        self._encoder = PieceEncoder(self._encode_batch, self._split, MARK, sizes)
+        cut = by_word and model.byte_fallback
+        plain = lambda t: cut and MARK not in t and "  " not in t and t[:1] != " " and t[-1:] != " "
+        self._encoder = WordEncoder(PieceEncoder(self._encode_batch, self._split, MARK, sizes), plain, self._mark)
 
     def _encode_batch(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -202,19 +204,18 @@ class Codec:
             glue = not piece
         return out
 
-    def marked(self, text: str) -> str:
-        """The normalised text as the model sees it."""
-        if self._normaliser is not None:
-            text = self._normaliser.normalize_str(text)
-        if not text:
-            return ""
-        return (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
+    def normalised(self, text: str) -> str:
+        return text if self._normaliser is None else self._normaliser.normalize_str(text)
 
-    def encode_marked(self, marked: list[str]) -> list[np.ndarray]:
-        return self._encoder.encode(marked)
+    def _mark(self, text: str) -> str:
+        """A normalised text as the model sees it."""
+        return (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK) if text else ""
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return self.encode_marked([self.marked(text) for text in texts])
+        return self.encode_normalised([self.normalised(text) for text in texts])
+
+    def encode_normalised(self, texts: list[str]) -> list[np.ndarray]:
+        return self._encoder.encode(pa.array(texts, pa.string()))
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         """Texts of ids: the bytes of all pieces in a row. Bytes that are no text are left to the library's decoder."""
@@ -230,9 +231,10 @@ class Codec:
             out.append(text)
         return out
 
-    def plain(self, marked: str) -> str:
-        """What decoding must give back for a text as the model sees it."""
-        return marked[bool(marked) and self.model.dummy_prefix :].replace(MARK, " ")
+    @staticmethod
+    def plain(normalised: str) -> str:
+        """What decoding must give back for a normalised text: a marker in it is a blank to the model."""
+        return normalised.replace(MARK, " ")
 
 
 class Parity:
@@ -254,10 +256,10 @@ DIGESTS = "doc_id long, n_tokens long, ids_crc32 long, decoded_crc32 long, round
 
 
 def _coded(codec: Codec, parity: Parity, texts: list[str]) -> tuple[list[np.ndarray], list[str], list[bool], list[bool]]:
-    marked = [codec.marked(t) for t in texts]
-    ids = codec.encode_marked(marked)
+    normalised = [codec.normalised(t) for t in texts]
+    ids = codec.encode_normalised(normalised)
     decoded = codec.decode(ids)
-    return ids, decoded, [codec.plain(m) == d for m, d in zip(marked, decoded, strict=True)], parity.same(texts, ids)
+    return ids, decoded, [codec.plain(m) == d for m, d in zip(normalised, decoded, strict=True)], parity.same(texts, ids)
 
 
 def encode_texts(docs: DataFrame, model: str, text: str = "text", threads: int = 1) -> DataFrame:

@@ -154,3 +154,14 @@ def distinct_sorted(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray,
     keep[1:] = (values[1:] != values[:-1]) | (text[1:] != text[:-1])
     values, text = values[keep], text[keep]
     return values, np.searchsorted(text, np.arange(len(first))).astype(np.int64)
+
+
+_EXACT_VALUE = _RANDOM.integers(1, 2**64 - 1, 256, dtype=np.uint64)
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, flag: np.ndarray) -> np.ndarray:
+    """The hash of the bytes of each span, in exact spelling; spans of other flags differ."""
+    up, down = _POWERS.upto(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_EXACT_VALUE[raw] * up[: len(raw)], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts] + flag.astype(np.uint64) * np.uint64(_BASE))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from depsignal.llm import storage
-from depsignal.llm.encoding import PieceEncoder
+from depsignal.llm.encoding import PieceEncoder, WordEncoder
 from depsignal.llm.textarrays import slices
 
 MAGIC, VERSION = b"TOKB", 1
@@ -134,13 +134,18 @@ _BESIDE_BLANK = ["  ", *[" " + c for c in _BLANKS], *[c + " " for c in _BLANKS]]
 _BESIDE_BLANK_ASCII = [pair for pair in _BESIDE_BLANK if pair.isascii()]
 
 
+def _single_blanks(text: str) -> bool:
+    """Whether no blank of the text stands beside another one."""
+    return not any(pair in text for pair in (_BESIDE_BLANK_ASCII if text.isascii() else _BESIDE_BLANK))
+
+
 def _split_words(text: str) -> list[str]:
     """Cut at each blank between two other characters: there the byte-level pattern begins a new match.
 
     A text with blanks side by side is cut into larger pieces, whose runs stay whole.
     """
     pieces = text.split(" ")
-    if not any(pair in text for pair in (_BESIDE_BLANK_ASCII if text.isascii() else _BESIDE_BLANK)):
+    if _single_blanks(text):
         return pieces if pieces[-1] or len(pieces) == 1 else [*pieces[:-2], pieces[-2] + " "]
     out, glue = [pieces[0]], not pieces[0] or pieces[0][-1].isspace()
     for piece in pieces[1:]:
@@ -152,7 +157,7 @@ def _split_words(text: str) -> list[str]:
     return out
 
 
-def byte_level_encoder(path: str) -> tuple[PieceEncoder, int]:
+def byte_level_encoder(path: str) -> tuple[WordEncoder, int]:
     """Encoder of a tokenizers file, and its vocabulary size.
 
     Strings of special tokens in a text are ordinary text. Texts are cut at
@@ -177,7 +182,8 @@ def byte_level_encoder(path: str) -> tuple[PieceEncoder, int]:
     names = sorted(tokenizer.get_vocab().items(), key=lambda item: item[1])
     sizes = np.zeros(names[-1][1] + 1, np.int64)
     sizes[[i for _, i in names]] = [len(name) for name, _ in names]
-    return PieceEncoder(encode, _split_words if by_word else lambda text: [text], " ", sizes), tokenizer.get_vocab_size()
+    pieces = PieceEncoder(encode, _split_words if by_word else lambda text: [text], " ", sizes)
+    return WordEncoder(pieces, _single_blanks if by_word else lambda text: False), tokenizer.get_vocab_size()
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -206,8 +212,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, doc_
 
         for batch in batches:
             for low, high in slices(batch.column(1)):
-                texts = [t or "" for t in batch.column(1).slice(low, high - low).to_pylist()]
-                for one in encoder.encode(texts):
+                for one in encoder.encode(batch.column(1).slice(low, high - low).fill_null("")):
                     found += [one, end]
                     size += len(one) + 1
                 doc_ids += batch.column(0).slice(low, high - low).to_pylist()

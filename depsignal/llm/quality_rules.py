@@ -1,7 +1,6 @@
 """Quality rules: counts of each text, and a hashed n-gram log-likelihood ratio.
 
-The target is learnt from at most TRUSTED_ROWS labelled documents, the raw
-corpus is counted whole. Two multinomials over hashed word unigrams and bigrams, in BUCKETS buckets,
+Two multinomials over hashed word unigrams and bigrams, in BUCKETS buckets,
 are counted: one of the trusted target, one of the raw corpus. A document's
 score is the mean over its n-grams of log(p_target / p_raw), in millionths. It
 is kept if it passes the base rules and its score is at or above ``threshold``.
@@ -31,7 +30,7 @@ BUCKETS = 1 << 16
 #: Weight of the raw distribution in the target, in n-grams for each bucket.
 PRIOR = 2
 THRESHOLD = -0.25
-#: Labelled documents that the target is learnt from, at most; those with the smallest hashes of their ids.
+#: About so many trusted ids are sent to all tasks at a time; more of them take more passes.
 TRUSTED_ROWS = 200_000
 MIN_WORDS = 20
 WINDOW = 8
@@ -149,12 +148,29 @@ def judge(docs: DataFrame, table: DataFrame, doc_id: str = "doc_id", text: str =
     )
 
 
+def all_counts(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``bucket_counts`` of every document, written; trusted are those whose ids are in ``trusted``.
+
+    Ids are dealt into parts of about TRUSTED_ROWS by their hash. A pass sends
+    one part of the trusted ids to all tasks and counts the documents of the
+    same part, so no text is shuffled to meet its label and each counts once.
+    """
+    ids = trusted.select(F.col(doc_id).try_cast(docs.schema[doc_id].dataType).alias("_trusted_id"))
+    ids = written(ids.filter("_trusted_id is not null").distinct(), "trusted-ids")
+    parts = ids.count() // TRUSTED_ROWS + 1
+    counts = None
+    for k in range(parts):
+        own = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)) == k  # noqa: B023, E731
+        marked = docs.select(doc_id, text).filter(own(doc_id))
+        marked = marked.join(F.broadcast(ids.filter(own("_trusted_id"))), F.col(doc_id) == F.col("_trusted_id"), "left")
+        found = bucket_counts(marked, text, F.col("_trusted_id").isNotNull())
+        if counts is not None:
+            found = counts.unionByName(found).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+        counts = written(found, "bucket-counts")
+    return counts
+
+
 def quality_rules(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Judge every document against the multinomial of the documents whose ids are in ``trusted``."""
-    ids = trusted.select(F.col(doc_id).alias("_trusted_id")).filter("_trusted_id is not null").distinct()
-    # at most TRUSTED_ROWS ids, so that no text has to be shuffled to meet its label
-    ids = F.broadcast(ids.orderBy(F.xxhash64("_trusted_id"), "_trusted_id").limit(TRUSTED_ROWS))
-    marked = docs.select(doc_id, text).join(ids, F.col(doc_id) == F.col("_trusted_id"), "left")
-    # written once, since the totals and the ratios both need it
-    table = ratios(written(bucket_counts(marked, text, F.col("_trusted_id").isNotNull()), "bucket-counts"))
+    table = ratios(all_counts(docs, trusted, doc_id, text))
     return judge(docs, table, doc_id, text, threshold)

@@ -145,6 +145,17 @@ def test_quality_score_does_not_depend_on_partitions(make):
     assert one == {r.doc_id: r.llr for r in quality_rules.quality_rules(docs.repartition(7), trusted).collect()}
 
 
+def test_quality_target_counts_every_trusted_document(make, monkeypatch):
+    docs = make([(i, f"{PASSAGE} w{i % 7} own{i} {'junk ' * (i % 3)}") for i in range(60)] + [(None, PASSAGE)])
+    trusted = make([(i % 30, "") for i in range(45)] + [(None, "")])
+    whole = {r.doc_id: r.llr for r in quality_rules.quality_rules(docs, trusted).collect()}
+    monkeypatch.setattr(quality_rules, "TRUSTED_ROWS", 8)
+    assert whole == {r.doc_id: r.llr for r in quality_rules.quality_rules(docs, trusted).collect()}
+    marked = docs.withColumn("own", F.coalesce(F.col("doc_id") < 30, F.lit(False)))
+    expected = {tuple(r) for r in quality_rules.bucket_counts(marked, "text", F.col("own")).collect()}
+    assert expected == {tuple(r) for r in quality_rules.all_counts(docs, trusted).collect()}
+
+
 def test_language_edges(make):
     learn = make([(i, "the cat and the dog of it " * 5, "en") for i in range(20)] + [(i, "der hund und die katze mit " * 5, "de") for i in range(20)] + [(99, "x", None), (98, None, "fr")])
     network = language_id.fit(learn)

@@ -3,7 +3,13 @@
 Two multinomials over hashed word unigrams and bigrams, in BUCKETS buckets,
 are counted: one of the trusted target, one of the raw corpus. A document's
 score is the mean over its n-grams of log(p_target / p_raw), in millionths. It
-is kept if it passes the base rules and its score is at or above ``threshold``.
+is kept if it passes the base rules and its score is at or above the threshold.
+
+The threshold comes from the target itself: it lies as far below the LOW
+quantile of the trusted documents' own scores as their median lies above it,
+and never above 0, the score of a text that fits both alike. It so follows the
+spread of the scores, which grows with the target. The quantiles are taken
+over scores in whole thousandths, of which there are few.
 
 The target's counts are smoothed by the raw distribution with the weight of
 PRIOR n-grams per bucket, so buckets with little evidence count as neutral.
@@ -15,7 +21,7 @@ most BUCKETS rows, whatever the corpus, and enters the scoring pass as one
 array from a scalar subquery. Texts are not shuffled, only a sum for each.
 
 Defined cases: a null text has no words; a document without n-grams scores 0;
-an empty target or corpus scores everything 0; repeated rows count each;
+an empty target or corpus scores everything 0 and its threshold is 0; repeated rows count each;
 input columns named like an output column are replaced.
 """
 
@@ -29,7 +35,8 @@ from depsignal.llm.storage import written
 BUCKETS = 1 << 16
 #: Weight of the raw distribution in the target, in n-grams for each bucket.
 PRIOR = 2
-THRESHOLD = -0.25
+#: Quantile of the trusted documents' own scores from which the threshold is laid.
+LOW = 0.01
 #: About so many trusted ids are sent to all tasks at a time; more of them take more passes.
 TRUSTED_ROWS = 200_000
 MIN_WORDS = 20
@@ -125,20 +132,37 @@ def ratios(counts: DataFrame) -> DataFrame:
     return listed.select(F.sort_array("t").alias("t")).select(F.col("t.value").alias("table"))
 
 
-def judge(docs: DataFrame, table: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """All columns, the counts, base_failed, llr (per n-gram) and kept; ``table`` comes from ``ratios``."""
-    taken = (*COUNTS, "base_failed", "llr", "kept")
-    names = [c for c in docs.columns if c.lower() not in taken]
-    key = F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"))
-    rows = with_counts(docs.select(*[f"`{c}`" for c in names]).withColumn("_key", key), text)
-    values = grams(docs, text, key.alias("_key")).withColumn("_table", table.scalar())
+def _key(doc_id: str, text: str) -> Column:
+    return F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"))
+
+
+def score_sums(docs: DataFrame, table: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_of, _sum, _grams) of each id and text with n-grams: summed millionths and n-grams; ``table`` comes from ``ratios``."""
+    values = grams(docs, text, _key(doc_id, text).alias("_of")).withColumn("_table", table.scalar())
     worth = F.get("_table", "single") + F.when(F.col("double") < 0, 0).otherwise(F.coalesce(F.get("_table", F.greatest("double", F.lit(0))), F.lit(0)))
     # rows that repeat an id and text fall in one sum, in which the mean stays the same
-    sums = values.groupBy(F.col("_key").alias("_of")).agg(F.sum(worth).alias("_sum"), F.sum(F.when(F.col("double") < 0, 1).otherwise(2)).alias("_grams"))
+    return values.groupBy("_of").agg(F.sum(worth).alias("_sum"), F.sum(F.when(F.col("double") < 0, 1).otherwise(2)).alias("_grams"))
+
+
+def threshold_of(sums: DataFrame, trusted: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """One row: the threshold in millionths, from the sums of all trusted documents."""
+    ids = trusted.select(F.col(doc_id).alias("_trusted_id"))
+    own = sums.join(ids, F.col("_of.id") == F.col("_trusted_id"), "left_semi")
+    score = F.floor(F.col("_sum") / F.col("_grams") / 1000)
+    found = own.agg(F.percentile(score, [LOW, 0.5]).alias("q"))
+    low, middle = F.get("q", F.lit(0)), F.get("q", F.lit(1))
+    return found.select(F.coalesce(F.least(F.floor((2 * low - middle) * 1000), F.lit(0)), F.lit(0)).cast("long").alias("threshold"))
+
+
+def judge(docs: DataFrame, sums: DataFrame, threshold: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """All columns, the counts, base_failed, llr (per n-gram) and kept; ``threshold`` is in millionths."""
+    taken = (*COUNTS, "base_failed", "llr", "kept")
+    names = [c for c in docs.columns if c.lower() not in taken]
+    rows = with_counts(docs.select(*[f"`{c}`" for c in names]).withColumn("_key", _key(doc_id, text)), text)
     rows = rows.join(sums, F.col("_key").eqNullSafe(F.col("_of")), "left")
     total, size = F.coalesce("_sum", F.lit(0)), F.coalesce("_grams", F.lit(1))
     # whole numbers on both sides: the verdict has no rounding
-    enough = total >= size * int(round(threshold * 1_000_000))
+    enough = total >= size * threshold
     return rows.select(
         *[f"`{c}`" for c in names],
         *COUNTS,
@@ -170,7 +194,13 @@ def all_counts(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text
     return counts
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Judge every document against the multinomial of the documents whose ids are in ``trusted``."""
+def quality_rules(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float | None = None) -> DataFrame:
+    """Judge every document against the multinomial of the documents whose ids are in ``trusted``.
+
+    A given ``threshold`` takes the place of the one that the target yields.
+    """
     table = ratios(all_counts(docs, trusted, doc_id, text))
-    return judge(docs, table, doc_id, text, threshold)
+    # written once, since the threshold and the verdicts both need them
+    sums = written(score_sums(docs, table, doc_id, text), "scores")
+    least = threshold_of(sums, trusted, doc_id).scalar() if threshold is None else F.lit(int(round(threshold * 1_000_000)))
+    return judge(docs, sums, least, doc_id, text)

@@ -82,6 +82,15 @@ def test_quality_rules_keep_good_documents(spark):
     assert all(r.kept for r in found if labels[r.doc_id] == 1)
 
 
+def test_quality_rules_reject_bad_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{sf}/labels.parquet").to_pylist()}
+    found = [(labels[r.doc_id], r.kept) for r in queries.op3(spark, sf).collect() if not r.base_failed and r.doc_id in labels]
+    good, bad = [kept for q, kept in found if q == 1], [kept for q, kept in found if q == 0]
+    assert len(bad) > 20 and sum(bad) <= 0.05 * len(bad), (sum(bad), len(bad))
+    assert sum(good) >= 0.995 * len(good), (sum(good), len(good))
+
+
 def test_held_out_languages(spark):
     truth = {r["doc_id"]: r["lang"] for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()}
     held = [r for r in queries.op4(spark, SF).collect() if r.held_out]

@@ -189,7 +189,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from depsignal.llm.line_dedup import drop_recurring
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return drop_recurring(docs).select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
+    # the SQL above has one limit and exempts short lines
+    return drop_recurring(docs, short_docs=None, long_docs=None).select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
 
 
 @registered("op7_decontaminate")

@@ -287,6 +287,15 @@ def test_a_free_quarter_is_generalised(make):
     assert line_dedup.drop_recurring(make(rows)).filter("n_dropped > 0").count() == 0
 
 
+def test_short_and_long_lines_have_limits_of_their_own(make):
+    short = [(i, f"text {i} alone\nAll rights reserved.\npage {i}") for i in range(line_dedup.SHORT_DOCS)]
+    found = line_dedup.drop_recurring(make(short)).orderBy("doc_id").collect()
+    assert [r.n_dropped for r in found] == [0] + [1] * (len(short) - 1) and found[3].text == "text 3 alone\npage 3"
+    assert line_dedup.drop_recurring(make(short[1:])).filter("n_dropped > 0").count() == 0
+    long = [(i, f"text {i}\n{PASSAGE}") for i in range(2)] + [(i, f"own {i}\nthese few words are no passage") for i in range(2, 11)]
+    assert {r.doc_id for r in line_dedup.drop_recurring(make(long)).filter("n_dropped > 0").collect()} == {1}
+
+
 def test_near_duplicates_on_odd_rows(make):
     near = PASSAGE + " more"
     docs = make([*ODD, (7, near), (None, near), (8, "Two One"), (9, "ONE TWO")])

@@ -233,3 +233,122 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
     predicted = F.when(F.col("score") >= 0.7, 1).otherwise(0)
     return found.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@registered(
+    "op12_fill_middle",
+    r"""
+    WITH l AS (
+        SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
+               sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+        FROM documents
+    ),
+    d AS (
+        SELECT doc_id, text, units, CAST(len(units) AS BIGINT) AS n,
+               CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(units) + 1) AS x, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(units) + 1) AS y,
+               CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                         OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 100 THEN 'plain'
+                    WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+        FROM l
+    ),
+    p AS (
+        SELECT doc_id, text, n, form, array_to_string(list_slice(units, 1, least(x, y)), '') AS prefix,
+               array_to_string(list_slice(units, least(x, y) + 1, greatest(x, y)), '') AS middle,
+               array_to_string(list_slice(units, greatest(x, y) + 1, n), '') AS suffix
+        FROM d
+    )
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                  ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+           sha256(text) AS restored_sha256
+    FROM p
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depsignal.llm.fill_middle import pieces, restore
+
+    return restore(pieces(table(spark, sf_dir, "documents")))
+
+
+@registered(
+    "op11_turn_repair",
+    r"""
+    WITH RECURSIVE hashed AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               xor(list_reduce(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+                   lambda x: CAST(ord(x) AS BIGINT)),
+                   lambda crc, x: list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda c, bit: xor(c >> 1, 3988292384 * (c & 1)), xor(crc, x)),
+                   4294967295), 4294967295) % 20 AS kind
+        FROM conversations
+    ),
+    damaged AS (
+        SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+               CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+               unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+        FROM hashed WHERE kind <> 0
+    ),
+    placed AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n,
+               row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+               regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS shown
+        FROM damaged
+    ),
+    faulty AS (
+        SELECT conv_id, turn, n, role, text, left(role, 1) AS initial, shown = '' AS blank, shown <> '' AND again AS duplicate,
+               shown <> '' AND NOT again AND NOT regexp_matches(shown, '[.!?]$') AS truncated
+        FROM placed
+    ),
+    pairs AS (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY n) || initial AS pair FROM faulty),
+    counted AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+               count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+               count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS n
+        FROM pairs GROUP BY conv_id
+    ),
+    paths(conv_id, i, z, s, u, a) AS (
+        SELECT DISTINCT conv_id, CAST(0 AS BIGINT), {'c': 0, 'a': '', 't': ''}, CAST(NULL AS STRUCT(c INTEGER, a VARCHAR, t VARCHAR)),
+               {'c': 2, 'a': 'I', 't': chr(10) || 'user:'}, {'c': 4, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}
+        FROM conversations
+        UNION ALL
+        SELECT conv_id, i, z, s, u, list_min([a, {'c': u.c + 2, 'a': u.a || 'I', 't': u.t || chr(10) || 'assistant:'}])
+        FROM (
+            SELECT conv_id, i, z, s, a, list_min([u, {'c': z.c + 2, 'a': z.a || 'I', 't': z.t || chr(10) || 'user:'},
+                   CASE WHEN s IS NOT NULL THEN {'c': s.c + 2, 'a': s.a || 'I', 't': s.t || chr(10) || 'user:'} END,
+                   {'c': a.c + 2, 'a': a.a || 'I', 't': a.t || chr(10) || 'user:'}]) AS u
+            FROM (
+                SELECT p.conv_id, f.n AS i, {'c': z.c + 3, 'a': z.a || 'D', 't': z.t} AS z,
+                       list_min([CASE WHEN s IS NOT NULL THEN {'c': s.c + 3, 'a': s.a || 'D', 't': s.t} END,
+                                 CASE WHEN stays AND initial = 's' THEN {'c': z.c + more, 'a': z.a || 'K', 't': z.t || line} END]) AS s,
+                       list_min([{'c': u.c + 3, 'a': u.a || 'D', 't': u.t},
+                                 CASE WHEN stays AND initial = 'u' THEN {'c': z.c + more, 'a': z.a || 'K', 't': z.t || line} END,
+                                 CASE WHEN stays AND initial = 'u' AND s IS NOT NULL THEN {'c': s.c + more, 'a': s.a || 'K', 't': s.t || line} END,
+                                 CASE WHEN stays AND initial = 'u' THEN {'c': a.c + more, 'a': a.a || 'K', 't': a.t || line} END,
+                                 CASE WHEN stays THEN {'c': z.c + 2 + more, 'a': z.a || 'R', 't': z.t || chr(10) || 'user:' || text} END,
+                                 CASE WHEN stays AND s IS NOT NULL THEN {'c': s.c + 2 + more, 'a': s.a || 'R', 't': s.t || chr(10) || 'user:' || text} END,
+                                 CASE WHEN stays THEN {'c': a.c + 2 + more, 'a': a.a || 'R', 't': a.t || chr(10) || 'user:' || text} END]) AS u,
+                       list_min([{'c': a.c + 3, 'a': a.a || 'D', 't': a.t},
+                                 CASE WHEN stays AND initial = 'a' THEN {'c': u.c + more, 'a': u.a || 'K', 't': u.t || line} END,
+                                 CASE WHEN stays THEN {'c': u.c + 2 + more, 'a': u.a || 'R', 't': u.t || chr(10) || 'assistant:' || text} END]) AS a
+                FROM paths p JOIN (
+                    SELECT conv_id, n, text, initial, NOT (blank OR duplicate) AS stays, CAST(truncated AS INTEGER) AS more,
+                           chr(10) || role || ':' || text AS line
+                    FROM faulty
+                ) f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.n = p.i + 1
+            )
+        )
+    ),
+    best AS (
+        SELECT conv_id, list_min([z, a]) AS way FROM paths
+        WHERE i = coalesce((SELECT n FROM counted WHERE counted.conv_id IS NOT DISTINCT FROM paths.conv_id), 0)
+    )
+    SELECT b.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate,
+           coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal, CAST(b.way.c AS BIGINT) AS cost, b.way.a AS audit,
+           sha256(substr(b.way.t, 2)) AS repaired_sha256
+    FROM best b LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM b.conv_id
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depsignal.llm.turn_repair import damaged, repair
+
+    return repair(damaged(table(spark, sf_dir, "conversations")), gone="gone")

@@ -352,3 +352,16 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from depsignal.llm.turn_repair import damaged, repair
 
     return repair(damaged(table(spark, sf_dir, "conversations")), gone="gone")
+
+
+@registered("op13_toxicity")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depsignal.llm.language_id import fold
+    from depsignal.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(fold("doc_id", 3) != 1)
+    found = score(docs, fit(docs, labels))
+    held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
+    predicted = F.when(F.col("score") >= 0.7, 1).otherwise(0)
+    return found.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))

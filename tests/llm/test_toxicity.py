@@ -40,7 +40,7 @@ def corpus(n=400, seed=3):
 
 
 def plain_ratio(rows, text):
-    """The ratio by dictionaries of strings, without hashes; the ways before a pair are counted by their 64 bits."""
+    """The ratio by dictionaries of strings, without hashes; the ways before a pair are counted, not estimated."""
     c, ways, tokens = [Counter(), Counter()], [defaultdict(set), defaultdict(set)], [0, 0]
     for _, body, toxic in rows:
         w = ["<s>", "<s>", *words(body)]
@@ -78,12 +78,12 @@ def plain_ratio(rows, text):
 def test_ratio_equals_plain_computation(spark):
     rows = corpus(120)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "id long, text string").repartition(5)
-    model = model_of(counts(docs, spark.createDataFrame([(i, k) for i, _, k in rows], "id long, label int")))
+    model = model_of(*counts(docs, spark.createDataFrame([(i, k) for i, _, k in rows], "id long, label int")))
     texts = [t for _, t, _ in rows[:12]] + ["", "unheard of words", "rude rude rude vile", "an odd passage that many share", "W1, w2; W3!"]
     got = ratios(model, pa.array(texts))
     for text, value in zip(texts, got, strict=True):
         expected = plain_ratio(rows, text)
-        # different words may share one of the 64 bits that tell the ways before a pair
+        # different words may share one of the bits that tell the ways before a pair
         assert math.isnan(value) == math.isnan(expected) and (math.isnan(value) or abs(value - expected) < 0.05), text
 
 

@@ -8,9 +8,10 @@ free, so that lines which agree in the other three meet in one template.
 
 A template found in enough rows recurs: ``min_docs``, or ``short_docs`` for
 lines of fewer than ``min_tokens`` tokens, which also meet by chance, or
-``long_docs`` for lines of LONG_TOKENS tokens or more, which do not. A line
+``long_docs`` for lines of LONG_TOKENS tokens or more, which do not. A template
+with a free quarter needs ``min_docs`` at any length. A line
 with a recurring template is dropped, but for the row with the smallest id that
-has this template, so that no text vanishes from the corpus. Blank lines are
+has this template; of lines that agree but for a quarter, that quarter goes with them. Blank lines are
 kept. A limit of None exempts the short lines, or counts the long ones as others.
 In a line of fewer than MIN_TOKENS tokens no token is a variable field.
 
@@ -87,9 +88,9 @@ def parse(column: pa.Array) -> Lines:
     variable = (seen[found.ends] > seen[found.starts]) & np.repeat(count >= MIN_TOKENS, count)
     hashes = np.where(variable, _VARIABLE, found.hashes)
 
-    up, down = textarrays._POWERS.upto(len(hashes) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)])])
-    part = lambda a, b: textarrays.mix((total[b] - total[a]) * down[a])
+    place = (np.arange(len(hashes)) - np.repeat(first, count)).astype(np.uint64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(textarrays.mix(hashes + place * _SALT[2]))])
+    part = lambda a, b: textarrays.mix(total[b] - total[a])
 
     size = count.astype(np.uint64)
     leaf = textarrays.mix(part(first, first + np.minimum(count, LEADING)) ^ (size * _SALT[0]))
@@ -179,9 +180,10 @@ def recurring(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(doc, lines): the keys of the lines to drop for each id. ``docs`` has the columns doc and text."""
     busy = _leaves(docs, limits).groupBy("leaf", "least").count().filter("count >= least").select("leaf")
     lines = _templates(docs, limits).join(busy, "leaf", "left_semi")
-    own = F.struct(F.col("line").alias("template"), F.lit(True).alias("fresh"))
-    wider = F.arrays_zip(F.col("general").alias("template"), F.col("fresh"))
-    keys = written(lines.select("doc", "least", "line", F.explode(F.concat(F.array(own), wider)).alias("key")).select("doc", "least", "line", "key.*"), "templates")
+    own = F.struct(F.col("line").alias("template"), F.lit(True).alias("fresh"), "least")
+    pairs = F.arrays_zip(F.col("general").alias("template"), F.col("fresh"))
+    wider = F.transform(pairs, lambda k: F.struct(k["template"].alias("template"), k["fresh"].alias("fresh"), F.lit(limits.min_docs).alias("least")))
+    keys = written(lines.select("doc", "line", F.explode(F.concat(F.array(own), wider)).alias("key")).select("doc", "line", "key.*"), "templates")
     found = (
         keys.groupBy("template", "least")
         .agg(F.count_if("fresh").alias("rows"), F.min("doc").alias("first_doc"))
@@ -207,11 +209,12 @@ def drop_recurring(
     """All columns with the recurring lines taken out of the text, and the numbers n_lines and n_dropped."""
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST_ID))
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    marked = docs.select(*[f"`{c}`" for c in names]).withColumn("_doc", key)
+    inner = [f"c{k}" for k in range(len(names))]
+    marked = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(names, inner, strict=True)], key.alias("doc"))
     gone = recurring(docs.select(key.alias("doc"), F.col(text).cast("string").alias("text")), Limits(min_docs, min_tokens, short_docs, long_docs))
-    joined = marked.join(gone.withColumnRenamed("doc", "_doc"), "_doc", "left").select(*[f"`{c}`" for c in names], F.col("lines").alias("_gone"))
+    joined = marked.join(gone, "doc", "left").select(*inner, "lines")
     place = [c.lower() for c in names].index(text.lower())
-    schema = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in names)
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

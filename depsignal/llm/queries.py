@@ -152,21 +152,28 @@ LINE_SQL = r"""
         SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'pos': i, 'line': x}), recursive := true)
         FROM documents WHERE text IS NOT NULL
     ),
-    t AS (
-        SELECT doc_id, pos, line, list_transform(list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-               'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> ''),
-               lambda x: CASE WHEN regexp_matches(x, '[0-9@]|://') THEN '<*>' ELSE x END) AS m
+    w AS (
+        SELECT doc_id, pos, line, list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
         FROM l
     ),
+    t AS (
+        SELECT doc_id, pos, line, list_transform(words, lambda x: CASE WHEN len(words) >= 5 AND regexp_matches(x, '[0-9@]|://') THEN '<*>' ELSE x END) AS m
+        FROM w WHERE len(words) > 0
+    ),
     k AS (
-        SELECT doc_id, pos, unnest(list_concat([concat_ws(' ', 'all', len(m), array_to_string(m, ' '))],
-               CASE WHEN len(m) < 8 THEN [] ELSE list_transform([0, 1, 2, 3], lambda w: concat_ws(' ', w, len(m),
-                    array_to_string(list_slice(m, 1, 3), ' '),
-                    array_to_string(list_slice(m, 1, len(m) * w // 4), ' '), '|',
-                    array_to_string(list_slice(m, len(m) * (w + 1) // 4 + 1, len(m)), ' '))) END)) AS template
-        FROM t WHERE len(m) >= 5
+        SELECT doc_id, pos, CASE WHEN starts_with(template, 'all ') THEN least ELSE 10 END AS least, template
+        FROM (
+            SELECT doc_id, pos, CASE WHEN len(m) < 5 THEN 30 WHEN len(m) >= 20 THEN 2 ELSE 10 END AS least,
+                   unnest(list_concat([concat_ws(' ', 'all', len(m), array_to_string(m, ' '))],
+                   CASE WHEN len(m) < 8 THEN [] ELSE list_transform([0, 1, 2, 3], lambda w: concat_ws(' ', w, len(m),
+                        array_to_string(list_slice(m, 1, 3), ' '),
+                        array_to_string(list_slice(m, 1, len(m) * w // 4), ' '), '|',
+                        array_to_string(list_slice(m, len(m) * (w + 1) // 4 + 1, len(m)), ' '))) END)) AS template
+            FROM t
+        )
     ),
-    r AS (SELECT template, min(doc_id) AS first_doc FROM k GROUP BY template HAVING count(DISTINCT doc_id) >= 10),
+    r AS (SELECT template, min(doc_id) AS first_doc FROM k GROUP BY template, least HAVING count(DISTINCT doc_id) >= least),
     gone AS (SELECT DISTINCT k.doc_id, k.pos FROM k JOIN r ON r.template = k.template AND k.doc_id <> r.first_doc),
     kept AS (
         SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_dropped,
@@ -189,8 +196,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from depsignal.llm.line_dedup import drop_recurring
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # the SQL above has one limit and exempts short lines
-    return drop_recurring(docs, short_docs=None, long_docs=None).select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
+    return drop_recurring(docs).select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
 
 
 @registered("op7_decontaminate")

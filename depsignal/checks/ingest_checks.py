@@ -10,7 +10,7 @@ from depsignal.functions import names
 from depsignal.operators import ingest, metrics, silver
 from depsignal.plans import backfill, ingestion
 from depsignal.session import scratch_path
-from depsignal.sources import documents, events, tables
+from depsignal.sources import documents, events, tables, versions
 from depsignal.streaming import events as streams
 
 _FLAT_SQL = """SELECT id, type, actor_login, repo_full_name, payload_action, payload_commits,
@@ -251,6 +251,26 @@ def snk8(spark, sf):
     return found
 
 
+@check(
+    "snk8_versioned_upsert",
+    """SELECT vec_id, CASE WHEN label >= 5 THEN label + 200 ELSE label END AS label,
+      CASE WHEN label >= 5 THEN 2 ELSE 0 END AS version FROM embeddings""",
+)
+def snk8_versioned(spark, sf):
+    stored = t.table(spark, sf, "embeddings").select("vec_id", "label", F.lit(0).alias("version"))
+    new = stored.filter("label >= 5").select(
+        "vec_id", "label", F.explode(F.array(F.lit(1), F.lit(2))).alias("version")
+    )
+    new = new.withColumn("label", F.col("label") + F.col("version") * 100)
+    root = scratch_path(spark, "vectors")
+    versions.create_versioned(spark, root, stored.schema, "vec_id", 8)
+    versions.upsert_version(spark, root, stored, "version")
+    for _ in range(2):
+        versions.upsert_version(spark, root, new, "version", ("label",))
+    versions.drop_versions(spark, root, grace_hours=0)
+    return versions.read_version(spark, root)
+
+
 @check(
     "snk9_create_silver",
     "SELECT event_date, count(*) AS events FROM first_delivery GROUP BY ALL",

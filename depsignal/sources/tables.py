@@ -92,15 +92,17 @@ def upsert_table(
 ) -> DataFrame:
     """Upsert into the stored table ``name``, which is created if it is missing.
 
-    The new state is written to a folder of its own before the table points to
-    it, so a failure on the way leaves the old table whole.
+    The new state is written to a folder of its own; then the catalog's entry
+    is changed to it in one step, so a failure on the way leaves the old table
+    whole. The old folder stays for readers. ``versions`` rewrites touched parts only.
     """
     fresh = scratch_path(spark, name)
-    if spark.catalog.tableExists(name):
-        rows = upsert_by_id(spark.table(name), new, key, order, ties)
+    known = spark.catalog.tableExists(name)
+    old = spark.table(name) if known else new.limit(0)
+    upsert_by_id(old, new, key, order, ties).write.parquet(fresh)
+    if known:
+        spark.sql(f"ALTER TABLE {name} SET LOCATION '{fresh}'")
+        spark.catalog.refreshTable(name)
     else:
-        rows = upsert_by_id(new.limit(0), new, key, order, ties)
-    rows.write.parquet(fresh)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.catalog.createTable(name, path=fresh, source="parquet")
+        spark.catalog.createTable(name, path=fresh, source="parquet")
     return spark.table(name)

@@ -10,7 +10,8 @@ from depsignal.functions import names
 from depsignal.operators import ingest, metrics, silver
 from depsignal.plans import backfill, ingestion
 from depsignal.session import scratch_path
-from depsignal.sources import documents, events, tables, versions
+from depsignal.sources import documents, events, filters, tables, versions
+from depsignal.sources.tables import materialize_once
 from depsignal.streaming import events as streams
 
 _FLAT_SQL = """SELECT id, type, actor_login, repo_full_name, payload_action, payload_commits,
@@ -173,6 +174,21 @@ def snk2(spark, sf):
     )
 
 
+@check(
+    "snk2_merge_filtered",
+    """+ d AS (SELECT DISTINCT event_id, event_date FROM first_delivery)
+    SELECT event_id, event_date FROM d""",
+)
+def snk2_filtered(spark, sf):
+    target, batch = scratch_path(spark, "silver"), t.first_delivery(spark, sf)
+    ingestion.start_silver(batch, target)
+    # early hours, then late ones, then all events once more
+    early = F.hour("created_at") < 12
+    for part in (batch.filter(early), batch.filter(~early), batch):
+        filters.merge_filtered(spark, target, materialize_once(part))
+    return spark.read.schema(schemas.SILVER).parquet(target).select("event_id", "event_date")
+
+
 @check(
     "snk3_merge_stats",
     _MERGED
@@ -522,3 +538,20 @@ def str3(spark, sf):
         _half(spark, sf, source, late)
         streams.stream_hour_counts(streams.stream_events(spark, source, max_files=2), store, progress).awaitTermination()
     return streams.stored_hour_stats(spark, store, t.curated(spark, sf))
+
+
+@check(
+    "str2_insert_within_watermark",
+    "SELECT DISTINCT event_id, event_type, repo_full_name, event_date FROM first_delivery",
+)
+def str2_once(spark, sf):
+    source, target = scratch_path(spark, "bronze"), scratch_path(spark, "silver")
+    progress = scratch_path(spark, "progress")
+    ingestion.start_silver(t.first_delivery(spark, sf), target)
+    # the later half comes first, then the earlier one, then all events once more
+    for late in (True, False, True, False):
+        _half(spark, sf, source, late)
+        stream = streams.stream_events(spark, source, max_files=6)
+        streams.stream_insert_once(stream, target, progress).awaitTermination()
+    stored = spark.read.schema(schemas.SILVER).parquet(target)
+    return stored.select("event_id", "event_type", "repo_full_name", "event_date")

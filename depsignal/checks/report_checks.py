@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from depsignal.checks import tables as t
 from depsignal.checks.prelude import rnd
 from depsignal.checks.registry import check
-from depsignal.operators import reports, vectors
+from depsignal.operators import reports, vector_index, vectors
 from depsignal.plans.assessment import index_records
+from depsignal.session import scratch_path
 from depsignal.sources.tables import materialize_once
 
 _RECORD = """repo_full_name, recommendation, health_score, risk_score, assessment_text, report_date,
@@ -229,6 +230,39 @@ def vec1_all(spark, sf):
     return vectors.cosine_topk(t.table(spark, sf, "embeddings"), query, 50).drop("embedding")
 
 
+_EVERY_HUNDREDTH = f"""+ q AS (SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings WHERE vec_id % 100 = 0),
+    r AS (SELECT query, vec_id AS id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q.v) AS s FROM q, embeddings e WHERE 1 = 1 {{0}}),
+    p AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS INTEGER) AS place FROM r)
+    SELECT query, id, {rnd("s", 4)} AS similarity, place FROM p WHERE place <= 10"""
+
+
+def _index(spark, sf):
+    found = t.table(spark, sf, "embeddings")
+    return vector_index.build_index(found, scratch_path(spark, "vector-lists"), 16), found.filter("vec_id % 100 = 0")
+
+
+@check("vec1_topk_many", _EVERY_HUNDREDTH.format(""))
+def vec1_many(spark, sf):
+    index, queries = _index(spark, sf)
+    return vector_index.search(index, queries, 10)
+
+
+@check("vec1_topk_many_label", _EVERY_HUNDREDTH.format("AND e.label = 3"))
+def vec1_many_label(spark, sf):
+    index, queries = _index(spark, sf)
+    return vector_index.search(index, queries, 10, label=3)
+
+
+@check("vec1_index_recall", "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def vec1_recall(spark, sf):
+    """Whether the lists that are looked into hold 95 % of the exact answers of all queries."""
+    index, queries = _index(spark, sf)
+    probes = vector_index.fewest_probes(index, queries, 10, 0.95)
+    exact = materialize_once(vector_index.search(index, queries, 10))
+    share = vector_index.recall(vector_index.search(index, queries, 10, probes), exact)
+    return queries.agg(F.count(F.lit(1)).alias("queries")).withColumn("enough", F.lit(share >= 0.95))
+
+
 @check(
     "agg21_index_stats",
     """SELECT CAST(label AS VARCHAR) AS namespace, count(*) AS vectors FROM embeddings GROUP BY ALL

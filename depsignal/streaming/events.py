@@ -1,7 +1,8 @@
 """Incremental ingestion of new event files with Structured Streaming.
 
-No stream here keeps state or a watermark, so no event is ever too late: each
-micro-batch is merged or counted by itself, and running one again changes nothing.
+Each micro-batch is merged or counted by itself, and running one again changes
+nothing, so no event is ever too late. ``stream_insert_once`` also keeps state,
+whose watermark follows the arrival of events and so drops none either.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,9 +11,10 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from depsignal import schemas
 from depsignal.operators.ingest import hour_counts, hour_stats_of, repo_hour_counts
-from depsignal.operators.silver import bronze_to_silver
+from depsignal.operators.silver import TIES, bronze_to_silver
 from depsignal.session import remove_path, scratch_path
 from depsignal.sources.events import merge_into_path, split_corrupt
+from depsignal.sources.filters import merge_filtered
 from depsignal.sources.tables import materialize_once
 
 
@@ -72,6 +74,55 @@ def stream_insert_only(
     )
 
 
+COPY = ("event_id", *TIES)
+
+
+def drop_known_copies(silver: DataFrame, keep: str = "1 hour", arrived: Column | None = None) -> DataFrame:
+    """A stream of silver events without copies that came before, within ``keep`` of the first one.
+
+    Rows are copies when also the columns agree in which deliveries of an event
+    can differ, so the merge behind chooses as if all had come to it. The state
+    holds the keys of the last ``keep`` of arrivals. The watermark follows the time of
+    arrival, the micro-batch's own unless told otherwise, which never runs
+    backwards: an event may be years late and still goes on.
+    """
+    at = F.current_timestamp() if arrived is None else arrived
+    return silver.withColumn("_arrived", at).withWatermark("_arrived", keep).dropDuplicatesWithinWatermark(list(COPY)).drop("_arrived")
+
+
+def stream_insert_once(
+    bronze: DataFrame,
+    target: str,
+    checkpoint: str,
+    keep: str = "1 hour",
+    ingested_at: Column | None = None,
+    arrived: Column | None = None,
+    merged: list | None = None,
+) -> StreamingQuery:
+    """``stream_insert_only`` behind a memory of recent events.
+
+    A copy of an event that came within ``keep`` ends in the state and costs no
+    look at the target; a later copy is found by the merge, which reads only files
+    whose key filter does not exclude it. ``merged`` receives what each merge has done.
+    """
+    fresh = drop_known_copies(bronze_to_silver(bronze, ingested_at), keep, arrived)
+
+    def merge(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        path = scratch_path(spark, "micro-batch")
+        done = merge_filtered(spark, target, materialize_once(batch, path))
+        if merged is not None:
+            merged.append(done)
+        remove_path(spark, path)
+
+    return (
+        fresh.writeStream.foreachBatch(merge)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 COUNTS = "date DATE, hour INT, repo STRING, n BIGINT, batch BIGINT"
 
 

@@ -72,3 +72,45 @@ def test_a_repeated_batch_counts_once(spark, tmp_path, rows):
         streams.stream_hour_counts(stream, store, str(tmp_path / progress)).awaitTermination()
     batch = ingest.ingest_hour_stats(t.bronze(spark, SF), projects)
     assert rows(streams.stored_hour_stats(spark, store, projects), *batch.columns) == rows(batch)
+
+
+def test_insert_once_keeps_late_events_and_drops_copies_in_its_state(spark, tmp_path, rows):
+    source, target, progress = (str(tmp_path / n) for n in ("in", "silver", "cp"))
+    batch = t.first_delivery(spark, SF)
+    start_silver(batch, target)
+    merged, done = [], []
+    for half in (1, 0, 1, 0):  # the later half comes first, and both once more
+        done.append(len(merged))
+        write(spark, source, half)
+        query = streams.stream_insert_once(streams.stream_events(spark, source), target, progress, "1 day", merged=merged)
+        query.awaitTermination()
+    stored = spark.read.schema(schemas.SILVER).parquet(target)
+    columns = ["event_id", "event_type", "repo_full_name", "payload_commits"]
+    assert rows(stored, *columns) == rows(silver.dedup_latest(batch), *columns)
+    # no copy came as far as the merge
+    assert sum(m.sent for m in merged[: done[2]]) >= stored.count()
+    assert sum(m.sent for m in merged[done[2] :]) == 0 and sum(m.read for m in merged[done[2] :]) == 0
+
+
+def test_state_of_insert_once_is_bounded_by_the_watermark(spark, tmp_path, rows):
+    source, target, progress = (str(tmp_path / n) for n in ("in", "silver", "cp"))
+    batch = t.first_delivery(spark, SF)
+    start_silver(batch, target)
+    kept, merged, done = [], [], []
+    # arrivals run forward whatever the events' own time; each run is an hour after the one before
+    for hour, half in enumerate((1, 0, 0)):
+        done.append(len(merged))
+        write(spark, source, half)
+        at = F.lit(f"2024-03-01 0{hour}:00:00").cast("timestamp")
+        query = streams.stream_insert_once(streams.stream_events(spark, source), target, progress, "10 minutes", arrived=at, merged=merged)
+        query.awaitTermination()
+        kept.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    first, second = (t.bronze(spark, SF).filter(c).count() for c in ("created_at >= '2024-01-16'", "created_at < '2024-01-16'"))
+    # what an earlier run left is gone, so no state holds both halves
+    assert max(kept) <= max(first, second) and kept[0] > 0
+    columns = ["event_id", "event_type", "repo_full_name", "payload_commits"]
+    stored = spark.read.schema(schemas.SILVER).parquet(target)
+    assert rows(stored, *columns) == rows(silver.dedup_latest(batch), *columns)
+    # the copies of the third run were out of the state and were found by the merge
+    last = merged[done[2] :]
+    assert sum(m.sent for m in last) > 0 and sum(m.inserted for m in last) == 0 and sum(m.read for m in last) > 0

@@ -3,12 +3,12 @@
 from pyspark.sql import functions as F
 
 from depsignal.checks import tables as t
-from depsignal.checks.prelude import rnd
+from depsignal.checks.prelude import health_chain, rnd
 from depsignal.checks.registry import check
 from depsignal.functions import scores
-from depsignal.operators import metrics, scorecard, scoring
+from depsignal.operators import history, metrics, scorecard, scoring
 from depsignal.operators.portfolio import coverage_join
-from depsignal.plans import gold
+from depsignal.plans import gold, rolling
 from depsignal.session import scratch_path
 from depsignal.sources import events
 from depsignal.sources.tables import materialize_once
@@ -122,6 +122,26 @@ def sco7_incremental(spark, sf):
     return gold.scores_from_daily(spark, store, t.cards(spark, sf), at).drop("computed_at")
 
 
+_LAST_DAYS = 7
+
+
+@check(
+    "sco7_rolling_window",
+    f"""+ recent AS (SELECT * FROM staged WHERE event_date > (SELECT max(event_date) FROM staged) - {_LAST_DAYS}),
+    {health_chain("recent", "_r")}
+    SELECT *, CAST(NULL AS DOUBLE) AS health_trend, CAST(NULL AS DOUBLE) AS prev_health_score FROM scores_r""",
+)
+def sco7_rolling(spark, sf):
+    store, root, silver = scratch_path(spark, "daily"), scratch_path(spark, "window"), t.silver_events(spark, sf)
+    gold.refresh_daily(silver, store, events.days_of(silver))
+    last = silver.agg(F.max("event_date")).first()[0]
+    # three days ahead a whole window, then day by day
+    for back in (3, 2, 1, 0):
+        rolling.roll(spark, store, root, last - back * rolling.MARGIN, _LAST_DAYS)
+    at = F.lit(t.COMPUTED_AT).cast("timestamp")
+    return rolling.rolling_scores(spark, root, last, t.cards(spark, sf), at).drop("computed_at")
+
+
 @check(
     "jon4_coverage_join",
     """SELECT repo_full_name, commits_per_week, contributor_count, bus_factor_risk, commit_score,
@@ -365,6 +385,17 @@ def win3(spark, sf):
     return t.snapshots(spark, sf).select(*_TREND)
 
 
+@check("win3_interval_history", f"SELECT {', '.join(_TREND)} FROM trended")
+def win3_intervals(spark, sf):
+    root, snapshots = scratch_path(spark, "history"), materialize_once(t.snapshots(spark, sf))
+    history.start_history(spark, root, 4)
+    days = sorted(r.snapshot_date for r in snapshots.select("snapshot_date").distinct().collect())
+    # the second snapshot comes last, and the first one once more
+    for day in [*days[:1], *days[2:], *days[1:2], days[0]]:
+        history.record_snapshot(spark, root, snapshots.filter(F.col("snapshot_date") == day), day)
+    return history.read_history(spark, root)
+
+
 @check(
     "top4_score_history",
     f"SELECT {', '.join(_TREND)} FROM trended WHERE repo_full_name = 'org7/repo7'",

@@ -200,6 +200,17 @@ def health_from_daily(
         .groupBy(*_keys(by), "actor_login")
         .agg(F.sum("commits").alias("actor_commits"))
     )
+    return health_from_totals(repos, actors, scorecard, by, computed_at)
+
+
+def health_from_totals(
+    repos: DataFrame,
+    actors: DataFrame,
+    scorecard: DataFrame,
+    by: Sequence[str] = REPO,
+    computed_at: Column | None = None,
+) -> DataFrame:
+    """The wide health table from totals per repository and commits per repository and actor."""
     diversity = _diversity(actors, by).select(*by, "contributor_count", "bus_factor_risk")
     return (
         repos.join(diversity, list(by), "left")

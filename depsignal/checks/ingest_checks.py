@@ -555,3 +555,16 @@ def str2_once(spark, sf):
         streams.stream_insert_once(stream, target, progress).awaitTermination()
     stored = spark.read.schema(schemas.SILVER).parquet(target)
     return stored.select("event_id", "event_type", "repo_full_name", "event_date")
+
+
+@check(
+    "str3_closed_hours",
+    """SELECT CAST(created_at AS DATE) AS date, CAST(hour(created_at) AS INTEGER) AS hour, repo_full_name AS repo, count(*) AS n
+    FROM bronze WHERE date_trunc('hour', created_at) + INTERVAL 1 HOUR <= (SELECT max(created_at) FROM bronze) - INTERVAL 2 HOUR
+    GROUP BY ALL""",
+)
+def str3_closed(spark, sf):
+    source, sink = _event_files(spark, sf), scratch_path(spark, "closed")
+    stream = streams.stream_events(spark, source)
+    streams.stream_tumbling_hours(stream, sink, scratch_path(spark, "progress")).awaitTermination()
+    return spark.read.parquet(sink)

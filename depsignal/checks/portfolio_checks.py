@@ -224,6 +224,20 @@ def win5(spark, sf):
     )
 
 
+@check(
+    "win5_keyset_page",
+    """SELECT repo_full_name, health_score FROM scores ORDER BY health_score, repo_full_name LIMIT 25 OFFSET 50""",
+)
+def win5_keyset(spark, sf):
+    table = materialize_once(t.scored(spark, sf).select("repo_full_name", "health_score"))
+    score, repo = None, None
+    for _ in range(2):  # the last row of a page leads to the next one
+        page = portfolio.page_after(table, score, repo).collect()
+        if page:
+            score, repo = page[-1]["health_score"], page[-1]["repo_full_name"]
+    return portfolio.page_after(table, score, repo)
+
+
 @check(
     "win4_top_items_per_repo",
     """SELECT 'org' || (o_custkey % 10) || '/repo' || o_custkey AS repo_full_name,

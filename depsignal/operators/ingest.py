@@ -36,11 +36,11 @@ def ingest_hour_stats(raw: DataFrame, projects: DataFrame) -> DataFrame:
     return hour_stats_of(repo_hour_counts(raw), projects)
 
 
-def repo_hour_counts(raw: DataFrame) -> DataFrame:
-    """Events of each hour and repository."""
+def repo_hour_counts(raw: DataFrame, *by: str) -> DataFrame:
+    """Events of each hour and repository, and of further columns."""
     at = event_time("created_at")
     hour = [F.to_date(at).alias("date"), F.hour(at).alias("hour"), F.col("repo.name").alias("repo")]
-    return raw.groupBy(*hour).agg(F.count(F.lit(1)).alias("n"))
+    return raw.groupBy(*hour, *by).agg(F.count(F.lit(1)).alias("n"))
 
 
 def hour_counts(parts: DataFrame) -> DataFrame:

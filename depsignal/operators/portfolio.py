@@ -224,6 +224,21 @@ def paginate(df: DataFrame, page: int, size: int = 25) -> DataFrame:
     return ordered.offset((page - 1) * size).limit(size)
 
 
+def page_after(df: DataFrame, score: float | None, repo: str | None, size: int = 25) -> DataFrame:
+    """The page that follows a row of the last one, in the order of ``paginate``; the first page without a row.
+
+    What lies before is filtered out, so each task keeps ``size`` rows however deep the page is.
+    """
+    rank, name = F.col("health_score"), F.col("repo_full_name")
+    if repo is None:
+        rest = F.lit(True)
+    elif score is None:
+        rest = rank.isNull() & (name > repo)
+    else:
+        rest = (rank > score) | ((rank == score) & (name > repo)) | rank.isNull()
+    return df.filter(rest).orderBy(rank.asc_nulls_last(), "repo_full_name").limit(size)
+
+
 def page_count(rows: int, size: int = 25) -> int:
     return max(1, math.ceil(rows / size))
 

@@ -2,7 +2,8 @@
 
 Each micro-batch is merged or counted by itself, and running one again changes
 nothing, so no event is ever too late. ``stream_insert_once`` also keeps state,
-whose watermark follows the arrival of events and so drops none either.
+whose watermark follows the arrival of events and so drops none either. Only
+``tumbling_hours`` follows the events' own time: it closes hours.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from depsignal import schemas
 from depsignal.operators.ingest import hour_counts, hour_stats_of, repo_hour_counts
-from depsignal.operators.silver import TIES, bronze_to_silver
+from depsignal.operators.silver import TIES, bronze_to_silver, event_time
 from depsignal.session import remove_path, scratch_path
 from depsignal.sources.events import merge_into_path, split_corrupt
 from depsignal.sources.filters import merge_filtered
@@ -123,21 +124,23 @@ def stream_insert_once(
     )
 
 
-COUNTS = "date DATE, hour INT, repo STRING, n BIGINT, batch BIGINT"
+COUNTS = "date DATE, hour INT, repo STRING, n BIGINT, part BIGINT"
 
 
 def stream_hour_counts(bronze: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Keep the events of each hour and repository, one folder of partial counts per batch below ``store``.
+    """Keep the events of each hour and repository, one folder of partial counts per event file below ``store``.
 
-    A repeated batch replaces its own folder. ``stored_hour_stats`` adds the parts up.
+    A file that is counted again, by a repeated batch or by a stream that lost
+    its progress, replaces its own folder only. ``stored_hour_stats`` adds the parts up.
     """
+    named = bronze.withColumn("part", F.xxhash64(F.input_file_name()))
 
-    def count(batch: DataFrame, number: int) -> None:
-        part = repo_hour_counts(batch).withColumn("batch", F.lit(number).cast("bigint"))
-        part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(store)
+    def count(batch: DataFrame, _: int) -> None:
+        part = repo_hour_counts(batch, "part")
+        part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(store)
 
     return (
-        bronze.writeStream.foreachBatch(count)
+        named.writeStream.foreachBatch(count)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -148,3 +151,19 @@ def stored_hour_stats(spark: SparkSession, store: str, projects: DataFrame) -> D
     """Events read and matched, and repositories matched, of every hour counted so far."""
     parts = spark.read.schema(COUNTS).parquet(store)
     return hour_stats_of(hour_counts(parts), projects)
+
+
+def tumbling_hours(bronze: DataFrame, delay: str = "2 hours") -> DataFrame:
+    """A stream of closed hours: one row for each hour and repository, once no event of it is waited for any more.
+
+    An hour closes when the watermark, the newest event's time less ``delay``, has passed its end.
+    Events that come later are left out here; ``stream_hour_counts`` has them.
+    """
+    timed = bronze.select(event_time("created_at").alias("at"), F.col("repo.name").alias("repo")).filter("at IS NOT NULL")
+    hours = timed.withWatermark("at", delay).groupBy(F.window("at", "1 hour").alias("w"), "repo").agg(F.count(F.lit(1)).alias("n"))
+    return hours.select(F.to_date("w.start").alias("date"), F.hour("w.start").alias("hour"), "repo", "n")
+
+
+def stream_tumbling_hours(bronze: DataFrame, sink: str, checkpoint: str, delay: str = "2 hours") -> StreamingQuery:
+    """Append closed hours to ``sink``; the state holds open hours only."""
+    return run_available(tumbling_hours(bronze, delay), sink, checkpoint)

@@ -152,3 +152,14 @@ def test_backfill_summary(spark):
     assert (r.hours_attempted, r.hours_succeeded, r.hours_skipped, r.hours_failed) == (3, 1, 1, 1)
     assert (r.total_events_downloaded, r.total_events_filtered, r.total_files_written, r.success_rate) == (10, 5, 2, 0.5)
     assert ingest.backfill_summary(spark.createDataFrame([], schema)).first().success_rate == 1.0
+
+
+def test_pages_after_a_row_equal_numbered_pages(spark):
+    rows = [(f"r{k:02}", [None, 1.0, 2.0, 2.0][k % 4]) for k in range(30)]
+    df = spark.createDataFrame(rows, "repo_full_name string, health_score double")
+    score, repo = None, None
+    for page in range(1, 7):
+        found = [tuple(r) for r in portfolio.page_after(df, score, repo, 6).collect()]
+        assert found == [tuple(r) for r in portfolio.paginate(df, page, 6).collect()]
+        if found:
+            repo, score = found[-1]

@@ -98,7 +98,7 @@ def test_state_of_insert_once_is_bounded_by_the_watermark(spark, tmp_path, rows)
     start_silver(batch, target)
     kept, merged, done = [], [], []
     # arrivals run forward whatever the events' own time; each run is an hour after the one before
-    for hour, half in enumerate((1, 0, 0)):
+    for hour, half in enumerate((1, 0, 1)):
         done.append(len(merged))
         write(spark, source, half)
         at = F.lit(f"2024-03-01 0{hour}:00:00").cast("timestamp")
@@ -114,3 +114,32 @@ def test_state_of_insert_once_is_bounded_by_the_watermark(spark, tmp_path, rows)
     # the copies of the third run were out of the state and were found by the merge
     last = merged[done[2] :]
     assert sum(m.sent for m in last) > 0 and sum(m.inserted for m in last) == 0 and sum(m.read for m in last) > 0
+
+
+def test_two_streams_of_other_files_do_not_replace_each_other(spark, tmp_path, rows):
+    store, projects = str(tmp_path / "counts"), t.curated(spark, SF)
+    for half in (0, 1):  # both begin with batch 0
+        source = str(tmp_path / f"in{half}")
+        write(spark, source, half)
+        stream = streams.stream_events(spark, source)
+        streams.stream_hour_counts(stream, store, str(tmp_path / f"cp{half}")).awaitTermination()
+    batch = ingest.ingest_hour_stats(t.bronze(spark, SF), projects)
+    assert rows(streams.stored_hour_stats(spark, store, projects), *batch.columns) == rows(batch)
+
+
+def test_closed_hours_are_written_once(spark, tmp_path, rows):
+    source, sink, progress = (str(tmp_path / n) for n in ("in", "closed", "cp"))
+    seen = []
+    for half in (0, 1, 1):  # in the order of time, and the later half again when its hours are closed
+        write(spark, source, half)
+        streams.stream_tumbling_hours(streams.stream_events(spark, source), sink, progress).awaitTermination()
+        found = spark.read.parquet(sink)
+        assert found.groupBy("date", "hour", "repo").count().filter("count > 1").count() == 0
+        seen.append(rows(found))
+    last = t.bronze(spark, SF).agg(F.max(silver.event_time("created_at"))).first()[0]
+    whole = ingest.repo_hour_counts(t.bronze(spark, SF)).filter(
+        F.expr("make_timestamp(year(date), month(date), day(date), hour, 0, 0) + INTERVAL 3 HOURS") <= F.lit(last)
+    )
+    assert seen[1] == rows(whole) and set(seen[0]) <= set(seen[1])
+    # hours that were still open took the repeated events in; closed ones did not
+    assert set(seen[1]) <= set(seen[2])

@@ -15,9 +15,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Stores that tasks can open, and what Arrow calls those that Hadoop names otherwise (fixed values).
+STORES = ("file", "hdfs", "viewfs", "s3", "s3a", "s3n", "gs", "gcs", "abfs", "abfss")
+ARROW_NAMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder URI that every executor can open."""
-    return scratch_path(spark, name)
+    """A new folder URI that every executor can open; refused here if tasks could not write there."""
+    path = scratch_path(spark, name)
+    store = path.partition(":/")[0] if ":/" in path else "file"
+    if store not in STORES:
+        raise ValueError(f"tasks cannot write files to {store}: set spark.checkpoint.dir to one of {', '.join(STORES)}")
+    return path
 
 
 def width(spark: SparkSession) -> int:
@@ -27,7 +36,10 @@ def width(spark: SparkSession) -> int:
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a URI; a plain path is a local one."""
-    return fs.FileSystem.from_uri(uri) if ":/" in uri else (fs.LocalFileSystem(), uri)
+    if ":/" not in uri:
+        return fs.LocalFileSystem(), uri
+    store, _, rest = uri.partition(":/")
+    return fs.FileSystem.from_uri(f"{ARROW_NAMES.get(store, store)}:/{rest}")
 
 
 def commit_file(folder: str, name: str, content: bytes | list[bytes]) -> str:

@@ -49,13 +49,21 @@ def _merge_rate(opened: Column, closed: Column) -> Column:
 
 
 def commit_activity(events: DataFrame, by: Sequence[str] = REPO) -> DataFrame:
-    """Pushes, commits, distinct committers, distinct push days, commits per week."""
-    return (
+    """Pushes, commits, distinct committers, distinct push days, commits per week.
+
+    Events are first rolled up by repository, actor and day, so the two distinct
+    counts expand that roll-up and not the events.
+    """
+    rolled = (
         events.filter(_is("PushEvent"))
-        .groupBy(*_keys(by))
+        .groupBy(*_keys(by), "actor_login", "event_date")
+        .agg(F.count(F.lit(1)).alias("pushes"), F.sum(_commits()).alias("commits"))
+    )
+    return (
+        rolled.groupBy(*_keys(by))
         .agg(
-            F.count(F.lit(1)).alias("push_event_count"),
-            F.sum(_commits()).alias("total_commits"),
+            F.sum("pushes").alias("push_event_count"),
+            F.sum("commits").alias("total_commits"),
             F.count_distinct("actor_login").alias("active_committers"),
             F.count_distinct("event_date").alias("active_days"),
         )

@@ -6,6 +6,7 @@ from depsignal import schemas
 from depsignal.checks import tables as t
 from depsignal.checks.prelude import n
 from depsignal.checks.registry import check
+from depsignal.checks.report_checks import RENDERED
 from depsignal.functions import names
 from depsignal.operators import ingest, metrics, silver
 from depsignal.plans import backfill, ingestion
@@ -92,7 +93,8 @@ def src3(spark, sf):
 @check(
     "src4_read_manifests",
     f"""SELECT brand AS brand, '.txt' AS suffix, count(*) AS lines,
-      {n("sum(strlen(p_name || '==' || p_size) + 1)")} AS bytes
+      {n("sum(strlen(p_name || '==' || p_size) + 1)")} AS bytes,
+      md5(string_agg(p_name || '==' || p_size, chr(10) ORDER BY p_name || '==' || p_size)) AS content_md5
     FROM parts GROUP BY ALL""",
 )
 def src4(spark, sf):
@@ -102,6 +104,8 @@ def src4(spark, sf):
         F.concat("p_name", F.lit("=="), F.col("p_size").cast("string")).alias("line"),
     ).write.partitionBy("brand").text(path)
     files = documents.read_manifests(spark, path)
+    # Spark may write a brand as several files; their lines together are the manifest
+    lines = F.filter(F.split("content", "\n"), lambda x: x != "")
     return (
         files.groupBy(
             F.regexp_extract("file_path", r"brand=(\d+)", 1).cast("int").alias("brand"), "suffix"
@@ -109,13 +113,16 @@ def src4(spark, sf):
         .agg(
             F.sum(F.size(F.split("content", "\n")) - 1).alias("lines"),
             F.sum(F.octet_length("content")).alias("bytes"),
+            F.md5(F.array_join(F.sort_array(F.flatten(F.collect_list(lines))), "\n")).alias("content_md5"),
         )
     )
 
 
 @check(
     "src5_read_reports",
-    "SELECT file_name, count(*) AS sections FROM filed GROUP BY ALL",
+    RENDERED
+    + """, counted AS (SELECT file_name, count(*) AS sections FROM filed GROUP BY ALL)
+    SELECT file_name, sections, md5(content) AS content_md5 FROM rendered JOIN counted USING (file_name)""",
 )
 def src5(spark, sf):
     path = scratch_path(spark, "reports")
@@ -123,7 +130,9 @@ def src5(spark, sf):
         documents.write_reports(t.reports(spark, sf), path)
     stored = documents.read_reports(spark, path)
     return stored.select(
-        "file_name", F.regexp_count("content", F.lit(r"(?m)^### .+")).cast("bigint").alias("sections")
+        "file_name",
+        F.regexp_count("content", F.lit(r"(?m)^### .+")).cast("bigint").alias("sections"),
+        F.md5("content").alias("content_md5"),
     )
 
 

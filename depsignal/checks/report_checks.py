@@ -14,7 +14,7 @@ _RECORD = """repo_full_name, recommendation, health_score, risk_score, assessmen
   report_file"""
 
 
-_RENDERED = """+ blocks AS (SELECT run_ts, file_name, action, string_agg('### ' || repo_full_name || E'\\n\\n'
+RENDERED = """+ blocks AS (SELECT run_ts, file_name, action, string_agg('### ' || repo_full_name || E'\\n\\n'
         || metrics || E'\\n\\n' || assessment || E'\\n\\n---\\n', E'\\n'
         ORDER BY risk_score DESC, repo_full_name) AS block, count(*) AS c FROM filed GROUP BY ALL),
     wide AS (SELECT run_ts, file_name,
@@ -31,7 +31,7 @@ _RENDERED = """+ blocks AS (SELECT run_ts, file_name, action, string_agg('### '
       || coalesce(E'\\n## Monitor\\n\\n' || mb, '') AS content FROM wide)"""
 
 
-@check("txt13_render_report", _RENDERED + " SELECT * FROM rendered")
+@check("txt13_render_report", RENDERED + " SELECT * FROM rendered")
 def txt13(spark, sf):
     return reports.render_report(t.recommendations(spark, sf))
 
@@ -89,7 +89,7 @@ def txt12(spark, sf):
 
 @check(
     "agg20_report_meta",
-    f"""{_RENDERED}
+    f"""{RENDERED}
     SELECT file_name, substr(run_ts, 1, 10) || ' ' || substr(run_ts, 12, 8) AS timestamp,
       CAST(len(regexp_extract_all(content, '(?m)^### .+')) AS BIGINT) AS project_count,
       CAST(round_even(CAST(strlen(content) AS DOUBLE) / 1024, 1) AS DOUBLE) AS size_kb FROM rendered""",

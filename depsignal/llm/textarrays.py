@@ -47,16 +47,23 @@ def _sums(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndar
     same bytes makes two sums equal but by chance.
     """
     n = len(raw)
-    begin = np.zeros(n, np.int32)
-    # an empty span has no byte; where several spans begin, the last one is not empty
-    begin[starts[starts < n]] = starts[starts < n]
-    place = np.arange(n, dtype=np.int32) - np.maximum.accumulate(begin)
-    terms = values.ravel()[((place & (_PLACES - 1)) << 8) | raw]
-    far = np.flatnonzero(place >= _PLACES)
-    if len(far):
-        terms[far] = mix(terms[far] + (place[far] // _PLACES).astype(np.uint64) * np.uint64(_BASE))
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(terms, out=total[1:])
+    if not len(starts):
+        return total[:0]
+    # every byte belongs to the last span that begins at it or before; places are needed modulo _PLACES only
+    reach = np.diff(starts, append=n)
+    place = np.arange(n - starts[0], dtype=np.uint32).astype(np.uint8)
+    place -= np.repeat((starts - starts[0]).astype(np.uint8), reach)
+    place &= _PLACES - 1
+    index = place.astype(np.uint16)
+    index <<= 8
+    index |= raw[starts[0] :]
+    terms = values.ravel().take(index)
+    for k in np.flatnonzero(ends - starts > _PLACES).tolist():
+        low, high = starts[k] + _PLACES - starts[0], ends[k] - starts[0]
+        rounds = np.arange(_PLACES, ends[k] - starts[k]) // _PLACES
+        terms[low:high] = mix(terms[low:high] + rounds.astype(np.uint64) * np.uint64(_BASE))
+    np.cumsum(terms, out=total[starts[0] + 1 :])
     return total[ends] - total[starts]
 
 

@@ -87,6 +87,29 @@ def test_ratio_equals_plain_computation(spark):
         assert math.isnan(value) == math.isnan(expected) and (math.isnan(value) or abs(value - expected) < 0.05), text
 
 
+def test_discount_is_chance_alone_however_large_the_corpus():
+    assert discount((10**10, 10**11)).tolist() == [pytest.approx(math.log(1.1 * 10**11) / math.log(11))] * 2
+
+
+@pytest.mark.parametrize("entries, bits", [(40, 27), (3, 27), (0, 8)])
+def test_scores_do_not_depend_on_what_tasks_hold(spark, make, monkeypatch, entries, bits):
+    rows = corpus(200)
+    texts = [(i, t) for i, t, _ in rows] + [(1000, ""), (1001, None), (1002, "rude vile " * 3000), (1003, "unheard of"), (None, rows[0][1])]
+    docs = make(texts).selectExpr("*", "1 AS h1", "2 AS x", "named_struct('c', 3) AS own")
+    labels = spark.createDataFrame([(i, k) for i, _, k in rows if i % 3], LABELS)
+    whole = {r.doc_id: r.score for r in score(docs, fit(docs, labels)).collect()}
+    monkeypatch.setattr(toxicity, "ENTRIES", entries)
+    monkeypatch.setattr(toxicity, "REST_BITS", bits)
+    fitted = fit(docs, labels)
+    assert fitted[0].rest and max(map(len, (fitted[0].word, fitted[0].context, fitted[0].pair))) <= entries
+    found = score(docs, fitted)
+    assert found.columns == [*docs.columns, "score"]
+    found = found.collect()
+    assert len(found) == len(texts) and len(set(whole.values())) > 5
+    assert {r.doc_id: r.text for r in found} == dict(texts)
+    assert {r.doc_id: r.score for r in found} == pytest.approx(whole, abs=1e-9)
+
+
 def test_toxic_texts_are_told(spark, make):
     rows = corpus()
     docs = make([(i, t) for i, t, _ in rows])

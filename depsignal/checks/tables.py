@@ -345,8 +345,16 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt over all shuffle partitions: a small file of many rows is read by a task or two."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def manifest_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """Five manifests per part, one per format, as (kind, file_name, content)."""
+    """Five manifests per part, one per format, as (kind, file_name, content).
+
+    Parsing takes far longer than reading parts, so the parts are dealt over tasks first.
+    """
     key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
     first = F.substring_index("p_name", " ", 1)
     second = F.substring_index("p_name", " ", -1)
@@ -388,7 +396,8 @@ def manifest_texts(spark: SparkSession, sf: str) -> DataFrame:
         '" }\npath_only = { path = "p" }\n[features]\ny = "1"\n[dev-dependencies]\nd', key, ' = ""\n',
     )
     file = F.struct
-    return table(spark, sf, "part").select(
+    parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    return _dealt(parts, "p_partkey").select(
         F.inline(
             F.array(
                 *[

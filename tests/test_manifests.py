@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from depsignal.operators import manifests, resolution
 from depsignal.plans.onboarding import onboard
 from depsignal.sources import documents
@@ -181,3 +183,10 @@ def test_repeated_repositories(spark, rows):
     assert project == ("o", "r", "discovered", "Discovered from manifest (python package: r2)")
     none = resolution.resolution_summary(got.limit(0)).first()
     assert (none.parsed, none.resolved_pct) == (0, 0.0)
+
+
+def test_parts_of_one_small_file_are_parsed_by_many_tasks(spark):
+    from depsignal.checks import tables
+
+    files = tables.manifest_texts(spark, "/root/testdata/sf0.01").withColumn("task", F.spark_partition_id())
+    assert files.select("task").distinct().count() >= 4

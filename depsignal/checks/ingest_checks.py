@@ -126,8 +126,9 @@ def src4(spark, sf):
 )
 def src5(spark, sf):
     path = scratch_path(spark, "reports")
+    made = materialize_once(t.reports(spark, sf))
     for _ in range(2):  # a report of the same name replaces the earlier one
-        documents.write_reports(t.reports(spark, sf), path)
+        documents.write_reports(made, path)
     stored = documents.read_reports(spark, path)
     return stored.select(
         "file_name",

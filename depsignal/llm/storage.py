@@ -2,10 +2,10 @@
 
 import posixpath
 
-from pyarrow import fs
+from pyarrow import fs  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
-from depsignal.session import scratch_path
+from depsignal.session import opened, scratch_path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -15,9 +15,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Stores that tasks can open, and what Arrow calls those that Hadoop names otherwise (fixed values).
+#: Stores that tasks can open (fixed values).
 STORES = ("file", "hdfs", "viewfs", "s3", "s3a", "s3n", "gs", "gcs", "abfs", "abfss")
-ARROW_NAMES = {"s3a": "s3", "s3n": "s3"}
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -34,14 +33,6 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def opened(uri: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a URI; a plain path is a local one."""
-    if ":/" not in uri:
-        return fs.LocalFileSystem(), uri
-    store, _, rest = uri.partition(":/")
-    return fs.FileSystem.from_uri(f"{ARROW_NAMES.get(store, store)}:/{rest}")
-
-
 def commit_file(folder: str, name: str, content: bytes | list[bytes]) -> str:
     """Write a file completely and return its URI.
 

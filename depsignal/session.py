@@ -3,10 +3,13 @@
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 
 
 _LOCAL_ROOT = "depsignal.scratch.dir"
+#: What Arrow calls the stores that Hadoop names otherwise (fixed values).
+ARROW_NAMES = {"s3a": "s3", "s3n": "s3"}
 
 
 def local_session(cores: str = "8", app: str = "depsignal") -> SparkSession:
@@ -53,3 +56,11 @@ def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a file or folder in whatever store holds it."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a URI; a plain path is a local one."""
+    if ":/" not in uri:
+        return fs.LocalFileSystem(), uri
+    store, _, rest = uri.partition(":/")
+    return fs.FileSystem.from_uri(f"{ARROW_NAMES.get(store, store)}:/{rest}")

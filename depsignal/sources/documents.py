@@ -1,8 +1,16 @@
 """Whole-text files: dependency manifests and Markdown reports."""
 
+import uuid
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from depsignal.session import opened
+
 
 def _whole_files(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
@@ -37,11 +45,30 @@ def read_reports(spark: SparkSession, path: str, latest_only: bool = False) -> D
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    """One directory per report, named like the report; a report of the same name is replaced."""
-    (
-        reports.select(F.col("file_name").alias("report"), "content")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("report")
-        .text(path)
-    )
+    """One file per report, named like the report; a report of the same name is replaced.
+
+    Tasks write the files themselves, each under a hidden name first: a commit that moves folder by folder in the
+    driver takes longer than all else. Texts of one name in the same frame follow each other, in their order.
+    """
+    name = F.coalesce("file_name", F.lit("__HIVE_DEFAULT_PARTITION__")).alias("name")
+    texts = F.sort_array(F.collect_list(F.coalesce("content", F.lit(""))))
+    named = reports.groupBy(name).agg(F.array_join(texts, "\n").alias("content"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = opened(path)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for report, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                place, hidden = f"{root}/{quote(report)}", f"{root}/_{uuid.uuid4().hex}"
+                with store.open_output_stream(hidden, compression=None) as out:
+                    out.write(f"{content}\n".encode())
+                # also what Spark's own writer has left under that name
+                for old in store.get_file_info([place, f"{root}/report={quote(report)}"]):
+                    if old.type == fs.FileType.Directory:
+                        store.delete_dir(old.path)
+                    elif old.is_file and store.type_name == "hdfs":
+                        store.delete_file(old.path)
+                store.move(hidden, place)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    named.mapInArrow(write, "n long").agg(F.sum("n")).collect()

@@ -119,6 +119,18 @@ def test_files(spark, tmp_path, rendered):
     assert [r.file_name for r in documents.read_reports(spark, path, latest_only=True).collect()] == [plain.name]
 
 
+def test_reports_are_files_that_replace_each_other(spark, tmp_path, rows):
+    path = tmp_path / "out"
+    old = path / "report=risk_report_a.md"
+    old.mkdir(parents=True)
+    (old / "part-0.txt").write_text("earlier\n", encoding="utf-8")
+    for texts in ([("a", "x\n"), ("b", "é")], [("a", "new\n\n"), ("c", None), ("d", "2"), ("d", "1")]):
+        documents.write_reports(spark.createDataFrame([(f"risk_report_{n}.md", c) for n, c in texts], "file_name string, content string"), str(path))
+    assert sorted(p.name for p in path.iterdir() if p.name[0] != ".") == [f"risk_report_{n}.md" for n in "abcd"]
+    got = dict(rows(documents.read_reports(spark, str(path))))
+    assert got == {"risk_report_a.md": "new\n\n", "risk_report_b.md": "é", "risk_report_c.md": "", "risk_report_d.md": "1\n2"}
+
+
 RECORD = "repo_full_name string, recommendation string, health_score double, assessment_text string, report_file string"
 
 

@@ -130,8 +130,9 @@ def merge_insert_only(
         incoming = dedup_latest(incoming, key)
     if days is None:
         return incoming.join(target.select(key), key, "left_anti")
+    # joined by the key alone, the batch stays as the removal of copies has dealt and sorted it
     touched = target.filter(F.col("event_date").isin(days))
-    return incoming.join(touched.select("event_date", key), ["event_date", key], "left_anti").select(incoming.columns)
+    return incoming.join(touched.select(key), key, "left_anti").select(incoming.columns)
 
 
 def append_silver(rows: DataFrame, path: str) -> None:

@@ -178,3 +178,18 @@ def test_create_silver(spark, tmp_path):
 def test_days_of(spark):
     df = spark.sql("SELECT explode(array(date'2024-01-03', date'2024-01-01')) AS event_date")
     assert events.days_of(df) == [datetime.date(2024, 1, 1), datetime.date(2024, 1, 3)]
+
+
+def test_merge_shuffles_the_batch_once(spark, tmp_path):
+    from depsignal import schemas
+    from depsignal.sources import events
+
+    path, days = str(tmp_path / "silver"), [datetime.date(2024, 1, 1)]
+    spark.createDataFrame([], schemas.SILVER).write.parquet(path)
+    stored = spark.read.schema(schemas.SILVER).parquet(path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = events.merge_insert_only(stored, stored, days=days)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2

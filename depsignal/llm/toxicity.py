@@ -57,8 +57,8 @@ TELLING = 64
 SET_ASIDE, SAMPLE_PER_LABEL = 5, 4_000
 #: So many different words before a pair are always enough; for each class they are told apart by WAY_BITS bits.
 WAYS, WAY_BITS = 16, 32
-#: Bits that mark the ids with a label, by hash, so that few other texts are shuffled to meet their label.
-MARKS = 1 << 25
+#: 2^MARK_BITS bits mark the ids with a label, by hash, so that few other texts are shuffled to meet their label.
+MARK_BITS = 25
 #: Expressions that a task holds before it passes their counts on.
 HELD = 1_000_000
 
@@ -126,16 +126,40 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _bit_array(rows: DataFrame, places: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> np.ndarray:
+    """2^bits bits in words of 64, of which those are set that ``places`` tells of the rows; at most a row for each word comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = np.unique(places(batch))
+            if len(place):
+                word, bit = place >> np.uint64(6), np.uint64(1) << (place & np.uint64(63))
+                starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+                columns = [word[starts].astype(np.int32), np.bitwise_or.reduceat(bit, starts).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["word", "bits"])
+
+    found = rows.mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    marks = np.zeros(1 << (bits - 6), np.uint64)
+    marks[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return marks
+
+
+def _is_set(marks: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (marks[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)) == 1
+
+
 def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Without most of the rows whose id is not among the given ones; a bit array of fixed size goes to all tasks."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(MARKS))
-    word, place = F.floor(bit / 64).cast("int"), (bit % 64).cast("int")
-    found = ids.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place)).alias("bits"))
-    every = ids.sparkSession.range(MARKS // 64).select(F.col("id").cast("int").alias("word")).join(found, "word", "left")
-    listed = every.agg(F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("all"))
-    marks = listed.select(F.col("all.bits").alias("marks")).scalar()
-    own = F.call_function("shiftrightunsigned", F.get(marks, word), place)
-    return docs.filter(own.bitwiseAND(F.lit(1).cast("long")) == 1)
+    """Without most of the rows whose id is not among the given ones; a bit array of fixed size is sent to all tasks once.
+
+    Only hashes of ids go to Python and only flags come back, so that texts stay where they are.
+    """
+    own = lambda hashed: hashed.to_numpy().view(np.uint64) >> np.uint64(64 - MARK_BITS)
+    sent = docs.sparkSession.sparkContext.broadcast(_bit_array(ids.select(F.xxhash64("id")), lambda batch: own(batch.column(0)), MARK_BITS))
+
+    def marked(hashed: pa.Array) -> pa.Array:
+        return pa.array(_is_set(sent.value, own(hashed)))
+
+    return docs.filter(F.arrow_udf(marked, "boolean")(F.xxhash64("id")))
 
 
 def counts(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict]:
@@ -216,8 +240,7 @@ class Model:
         if self.marks is not None:
             bits = (64 * len(self.marks)).bit_length() - 1
             for kind, key, held in ((WORD, word, known), (CONTEXT, before, lent), (PAIR, pairs, frequent)):
-                place = _places(kind, key, bits)
-                unsure |= ~held & ((self.marks[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)) == 1)
+                unsure |= ~held & _is_set(self.marks, _places(kind, key, bits))
         return logs[0] - logs[1], unsure
 
 
@@ -342,21 +365,11 @@ def _marks(rest: DataFrame) -> np.ndarray:
     """The bits of all expressions of (kind, key)."""
     bits = REST_BITS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kind, key = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            place = np.unique(np.concatenate([_places(k, key[kind == k].view(np.uint64), bits) for k in (WORD, CONTEXT, PAIR)]))
-            if len(place):
-                word, bit = place >> np.uint64(6), np.uint64(1) << (place & np.uint64(63))
-                starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-                columns = [word[starts].astype(np.int32), np.bitwise_or.reduceat(bit, starts).view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["word", "bits"])
+    def places(batch: pa.RecordBatch) -> np.ndarray:
+        kind, key = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        return np.concatenate([_places(k, key[kind == k].view(np.uint64), bits) for k in (WORD, CONTEXT, PAIR)])
 
-    # at most 2^REST_BITS / 64 rows
-    frame = rest.select("kind", "key").mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    marks = np.zeros(1 << (bits - 6), np.uint64)
-    marks[frame.word.to_numpy(np.int64)] = frame.bits.to_numpy(np.int64).view(np.uint64)
-    return marks
+    return _bit_array(rest.select("kind", "key"), places, bits)
 
 
 def model_of(found: DataFrame, total: dict) -> Model | None:
@@ -376,11 +389,11 @@ def model_of(found: DataFrame, total: dict) -> Model | None:
     is_kind = lambda kind: F.col("kind") == kind
 
     def held(kind):
-        # at most ENTRIES rows
-        frame = table.filter(is_kind(kind) & (F.col("level") >= lowest[kind])).select("key", "t", "o").toPandas()
-        keys = frame.key.to_numpy(np.int64).view(np.uint64)
+        # at most ENTRIES rows, which are numbers only and stay in Arrow
+        found = table.filter(is_kind(kind) & (F.col("level") >= lowest[kind])).select("key", "t", "o").toArrow()
+        keys = found["key"].to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        return keys[order], np.stack([frame.t.to_numpy(float)[order], frame.o.to_numpy(float)[order]])
+        return keys[order], np.stack([found[c].to_numpy()[order] for c in "to"])
 
     (word, word_share), (context, freed), (pair, pair_share) = map(held, lowest)
     model = Model(word, word_share, rare_share, context, freed, pair, pair_share)

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -110,6 +111,30 @@ def test_scores_do_not_depend_on_what_tasks_hold(spark, make, monkeypatch, entri
     assert {r.doc_id: r.score for r in found} == pytest.approx(whole, abs=1e-9)
 
 
+def test_marks_stay_out_of_the_plan(spark, make):
+    docs = make([(i, f"text {i}") for i in range(2000)] + [(30, None)]).selectExpr("text", "doc_id AS id", "1 AS hash")
+    found = toxicity._marked(docs, docs.select("id").filter("id % 10 = 0"))
+    # as a literal the bits went along with every task and closure of the driver
+    assert "subquery" not in found._jdf.queryExecution().toString()
+    rows = {(r.id, r.text) for r in found.select("id", "text").collect()}
+    assert rows >= {(i, f"text {i}") for i in range(0, 2000, 10)} | {(30, None)} and len(rows) < 230
+
+
+def test_driver_holds_the_model_as_arrays_only(spark):
+    n = 40_000
+    columns = "1 AS kind", "id AS key", "id % 90 + 60 AS t", "id % 70 AS o", "1L AS both", "0L AS ways"
+    total = dict(tokens_t=10**6, tokens_o=10**7, types_t=10**5, types_o=10**5, pairs=10**6, words=10**5)
+    found = spark.range(n).selectExpr(*columns)
+    tracemalloc.start()
+    try:
+        model = model_of(found, total)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(model.word) == n and model.word_share.shape == (2, n) and len(model.pair) == 0
+    assert peak < 100 * n
+
+
 def test_toxic_texts_are_told(spark, make):
     rows = corpus()
     docs = make([(i, t) for i, t, _ in rows])

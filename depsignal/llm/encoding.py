@@ -53,6 +53,24 @@ class PieceEncoder:
                 at = cut
         return known
 
+    def encode_spans(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that follow another one, given as spans of bytes, and how many ids each has.
+
+        No piece is empty or ends like ``lead``, and all are taken in array steps.
+        """
+        lead = np.frombuffer(self.lead.encode(), np.uint8)
+        sizes = ends - starts + len(lead)
+        to = np.append(0, np.cumsum(sizes))
+        joined = raw.take(np.repeat(ends - to[1:], sizes) + np.arange(to[-1]), mode="clip")
+        joined[to[:-1, None] + np.arange(len(lead))] = lead
+        data, flat, counts = joined.tobytes(), [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for at in range(0, len(starts), JOINED_PIECES * JOINED_TEXTS):
+            cuts = [to[k : k + JOINED_PIECES + 1] for k in range(at, min(at + JOINED_PIECES * JOINED_TEXTS, len(starts)), JOINED_PIECES)]
+            for cut, ids in zip(cuts, self.encode_batch([data[c[0] : c[-1]].decode() for c in cuts]), strict=True):
+                flat.append(np.array(ids, "<u4"))
+                counts.append(np.diff(np.searchsorted(np.cumsum(self.id_bytes[flat[-1]]), cut[1:] - cut[0]) + 1, prepend=0))
+        return np.concatenate(flat), np.concatenate(counts)
+
     def _joined(self, groups: list[list[str]]) -> Iterator[tuple[list[str], np.ndarray]]:
         for at in range(0, len(groups), JOINED_TEXTS):
             some = groups[at : at + JOINED_TEXTS]
@@ -85,8 +103,8 @@ class WordEncoder:
     """The same over whole Arrow columns, for pieces that are cut at single blanks.
 
     Pieces are told apart by 64-bit hashes of their bytes, so that a batch is
-    looked up, and its ids are put together, in array steps. Only pieces not
-    met before become strings. Texts that ``plain`` refuses, because blanks
+    looked up, and its ids are put together, in array steps. Pieces not met
+    before become strings by the hundred, joined for the library. Texts that ``plain`` refuses, because blanks
     stand side by side in them, go through a ``PieceEncoder``. ``mark`` makes of
     a text, or of its first piece, what the model sees of it.
     """
@@ -100,21 +118,21 @@ class WordEncoder:
         self.entry = np.zeros(0, np.int64)
         self.begin, self.flat = np.zeros(1, np.int64), np.zeros(0, "<u4")
 
-    def _learn(self, hashes: np.ndarray, pieces: list[bytes], first: np.ndarray) -> None:
+    def _learn(self, hashes: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> None:
         """Encode pieces and keep their ids; the first of a text has no blank before it."""
-        texts = [p.decode() for p in pieces]
-        heads = np.flatnonzero(first).tolist()
-        found: list = [None] * len(texts)
-        for k, ids in zip(heads, self.other.encode_batch([self.mark(texts[k]) for k in heads]), strict=True):
-            found[k] = np.array(ids, "<u4")
-        rest = np.flatnonzero(~first).tolist()
-        known = self.other.encode_inner([texts[k] for k in rest if texts[k]])
-        for k in rest:
-            # an empty piece is the lone blank at the end of a text
-            found[k] = np.frombuffer(known[texts[k]], "<u4") if texts[k] else np.array(self.other.encode_batch([self.other.lead])[0], "<u4")
-        at = len(self.begin) - 1 + np.arange(len(found))
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(f) for f in found], dtype=np.int64)])
-        self.flat = np.concatenate([self.flat, *found])
+        lead = np.frombuffer(self.other.lead.encode(), np.uint8)
+        # a piece that ends like the next one begins could grow together with it, and an empty one is the lone blank at the end of a text
+        alone = ends - starts >= len(lead)
+        alone[alone] = (raw[ends[alone, None] - len(lead) + np.arange(len(lead))] == lead).all(axis=1)
+        alone |= first | (starts == ends)
+        inner, rest = np.flatnonzero(~alone), np.flatnonzero(alone).tolist()
+        flat, count = self.other.encode_spans(raw, starts[inner], ends[inner])
+        texts = [raw[starts[k] : ends[k]].tobytes().decode() for k in rest]
+        found = self.other.encode_batch([self.mark(text) if first[k] else self.other.lead + text for k, text in zip(rest, texts, strict=True)])
+        at = np.empty(len(hashes), np.int64)
+        at[np.append(inner, np.array(rest, np.int64))] = len(self.begin) - 1 + np.arange(len(hashes))
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([*count, *map(len, found)], dtype=np.int64)])
+        self.flat = np.concatenate([self.flat, flat, *[np.array(ids, "<u4") for ids in found]])
         every, place = np.concatenate([self.hashes, hashes]), np.concatenate([self.entry, at])
         order = np.argsort(every, kind="stable")
         self.hashes, self.entry = every[order], place[order]
@@ -154,8 +172,7 @@ class WordEncoder:
         known[known] = self.hashes[place[known]] == different[known]
         if not known.all():
             new = at[~known]
-            data = raw.tobytes()
-            self._learn(different[~known], [data[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)], first[new])
+            self._learn(different[~known], raw, starts[new], ends[new], first[new])
         entry = self.entry[np.searchsorted(self.hashes, different)][inverse]
         begin, count = self.begin[entry], self.begin[entry + 1] - self.begin[entry]
         total = np.concatenate([[0], np.cumsum(count)])

@@ -76,6 +76,49 @@ def test_byte_level_cuts():
     assert [e.tolist() for e in encoder.encode(pa.array(texts))] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("pieces, together", [(3, 2), (1, 1), (256, 16)])
+def test_new_pieces_in_any_groups(monkeypatch, pieces, together):
+    import random
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from depsignal.llm import encoding
+
+    monkeypatch.setattr(encoding, "JOINED_PIECES", pieces)
+    monkeypatch.setattr(encoding, "JOINED_TEXTS", together)
+    path, model = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")
+    rng = random.Random(7)
+    atoms = ["a", "word", "é", "日本", "12", "!", "'s", "▁", "\n", "<s>", "\U0001f600"]
+    texts = [" ".join("".join(rng.choices(atoms, k=rng.randrange(1, 5))) for _ in range(rng.randrange(9))) + " " * rng.randrange(2) for _ in range(900)]
+    library, codec = Tokenizer.from_file(path), sentencepiece_codec.Codec(model)
+    library.encode_special_tokens = True
+    encoder = token_store.byte_level_encoder(path)[0]
+    expected, pieces_of = library.encode_batch(texts, add_special_tokens=False), sentencepiece.SentencePieceProcessor(model_file=model).encode(texts)
+    for low in (0, 300, 0):  # in several batches, the first one again
+        assert [e.tolist() for e in encoder.encode(pa.array(texts[low : low + 600]))] == [e.ids for e in expected[low : low + 600]]
+        assert [e.tolist() for e in codec.encode(texts[low : low + 600])] == pieces_of[low : low + 600]
+
+
+def test_new_pieces_take_array_steps():
+    import cProfile
+    import pstats
+
+    encoder = token_store.byte_level_encoder(tokenizer_file("byte_bpe_50k.json"))[0]
+    texts = pa.array([" ".join(f"{k * 7919 % 100003}{k:x}" for k in range(n, n + 400)) for n in range(0, 20_000, 400)])
+    profile = cProfile.Profile()
+    found = profile.runcall(encoder.encode, texts)
+    assert len(found) == 50 and pstats.Stats(profile).total_calls < 20_000 / 4
+
+
+def test_a_worker_keeps_its_encoder():
+    path = tokenizer_file("byte_bpe_50k.json")
+    encoder, _ = token_store._worker_encoder(path)
+    encoder.encode(pa.array(["some words here"]))
+    again, _ = token_store._worker_encoder(path)
+    assert again is encoder and len(again.hashes) >= 3
+
+
 def test_sentencepiece_parity_on_odd_texts():
     import random
 
